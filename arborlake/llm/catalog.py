@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import op4
+from arborlake.llm import op4, op5, op6
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query an operator."""
     return {
         "op4_mix_sources": op4.op4_mix_sources,
+        "op5_language_id": op5.op5_language_id,
+        "op6_bpe": op6.op6_bpe,
     }
 
 
