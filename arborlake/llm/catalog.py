@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import op4, op5, op6
+from arborlake.llm import op2, op4, op5, op6
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query an operator."""
     return {
+        "op2_exact_dedup": op2.op2_exact_dedup,
         "op4_mix_sources": op4.op4_mix_sources,
         "op5_language_id": op5.op5_language_id,
         "op6_bpe": op6.op6_bpe,
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL of those that DuckDB can run on whole tables."""
     return {
+        "op2_exact_dedup": op2.SQL,
         "op4_mix_sources": op4.SQL,
     }
