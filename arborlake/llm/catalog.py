@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import op2, op4, op5, op6
+from arborlake.llm import op2, op4, op5, op6, op7
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4.op4_mix_sources,
         "op5_language_id": op5.op5_language_id,
         "op6_bpe": op6.op6_bpe,
+        "op7_simhash": op7.op7_simhash,
     }
 
 
