@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import op2, op4, op5, op6, op7
+from arborlake.llm import op1, op2, op4, op5, op6, op7
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query an operator."""
     return {
+        "op1_quality": op1.op1_quality,
         "op2_exact_dedup": op2.op2_exact_dedup,
         "op4_mix_sources": op4.op4_mix_sources,
         "op5_language_id": op5.op5_language_id,
