@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import op1, op2, op4, op5, op6, op7, op9
+from arborlake.llm import op1, op2, op4, op5, op6, op7, op9, op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6.op6_bpe,
         "op7_simhash": op7.op7_simhash,
         "op9_toxicity": op9.op9_toxicity,
+        "op10_repeated_passages": op10.op10_repeated_passages,
     }
 
 
