@@ -94,7 +94,7 @@ def _parse_block(x: np.ndarray, begin: int, end: int, length: int) -> tuple[np.n
     reach, last = length - TRIGGER, len(x) - TRIGGER - base
     left, right = np.maximum(at - reach, 0), np.minimum(at + reach, last)
     phrase = (at - left).astype(np.uint64) * np.uint64(length) + (right - at).astype(np.uint64)
-    for i, place in enumerate((left, np.maximum(at - reach // 2, 0), np.minimum(at + reach // 2, last), right)):
+    for i, place in enumerate((left, np.maximum(at - reach // 2, 0), at, np.minimum(at + reach // 2, last), right)):
         phrase = (phrase ^ h[place]) * _STEP[i]  # blocks of TRIGGER bytes cover the phrase
         phrase ^= phrase >> np.uint64(31)
     return at + base, h[at], phrase
