@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import op1, op2, op4, op5, op6, op7, op9, op10
+from arborlake.llm import op1, op2, op4, op5, op6, op7, op8, op9, op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5.op5_language_id,
         "op6_bpe": op6.op6_bpe,
         "op7_simhash": op7.op7_simhash,
+        "op8_warc_fixity": op8.op8_warc_fixity,
         "op9_toxicity": op9.op9_toxicity,
         "op10_repeated_passages": op10.op10_repeated_passages,
     }
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": op2.SQL,
         "op4_mix_sources": op4.SQL,
+        "op8_warc_fixity": op8.SQL,
     }
