@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import op1, op2, op4, op5, op6, op7, op8, op9, op10
+from arborlake.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1.op1_quality,
         "op2_exact_dedup": op2.op2_exact_dedup,
+        "op3_license_scan": op3.op3_license_scan,
         "op4_mix_sources": op4.op4_mix_sources,
         "op5_language_id": op5.op5_language_id,
         "op6_bpe": op6.op6_bpe,
