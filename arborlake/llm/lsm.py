@@ -50,7 +50,7 @@ def normalise(text: str | None) -> bytes:
 
 def probes(digests: np.ndarray, bits: int, n: int = 3) -> np.ndarray:
     """Bit positions (n x digests) of digests in a filter of ``bits`` bits."""
-    raw = np.frombuffer(digests.tobytes(), np.uint8).reshape(len(digests), -1)
+    raw = np.frombuffer(digests.tobytes(), np.uint8).reshape(len(digests), digests.dtype.itemsize)
     wide = np.zeros((len(raw), 16), np.uint8)
     wide[:, : min(16, raw.shape[1])] = raw[:, :16]
     a, b = np.ascontiguousarray(wide).view(np.uint64).T
