@@ -45,7 +45,7 @@ from arborlake.llm.common import cut, quoted, shuffle_partitions
 
 TRIGGER = 20
 #: Bytes of text parsed together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 #: Bytes of one text hashed at once.
 BLOCK = 4 << 20
 _RANDOM = np.random.default_rng(50)
@@ -132,6 +132,12 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def bounds(at: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Begin and end of the runs that begin at ``at``."""
+    ends = np.append(at[1:], n) if len(at) else at
+    return list(zip(at.tolist(), ends.tolist(), strict=True))
+
+
 PARSED = ["part", "docs", "tags", "counts", "numbers", "triggers", "phrases", "phrases5", "repeated"]
 FOUND = "doc_id bigint, tag bigint, kind int, data binary"
 #: Kinds of a row of places: numbers of triggers whose phrase repeats; those to compare; starts of repeated strings.
@@ -146,13 +152,13 @@ def found_rows(docs: np.ndarray, tags: np.ndarray, kind: int, data: np.ndarray)
     order = np.lexsort((data, tags, docs))
     docs, tags, data = docs[order], tags[order], data[order].astype("<u4")
     at = runs(docs, tags)
-    parts = [data[i:j].tobytes() for i, j in zip(at, [*at[1:], len(docs)], strict=True)]
+    parts = [data[i:j].tobytes() for i, j in bounds(at, len(docs))]
     return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(tags[at]), pa.array([kind] * len(at), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "tag", "kind", "data"])
 
 
 def repeated_places(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, text) -> rows of places by document, as in ``FOUND``."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = 2 * shuffle_partitions(docs.sparkSession)  # occurrences take several times the memory of their text's share
 
     def parse_all(batches):
         held, size = [], 0
@@ -174,6 +180,7 @@ def repeated_places(docs: DataFrame, length: int) -> DataFrame:
         doc, tag = np.repeat([x for x, _ in held], n), np.repeat([zlib.crc32(b) for _, b in held], n)
         number = np.concatenate([np.arange(k) for k in n])
         trigger, phrase = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
+        del found
         repeated = settle(trigger, phrase, doc)[0]
         out = {k: [] for k in PARSED}
         part = ((trigger >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -181,7 +188,7 @@ def repeated_places(docs: DataFrame, length: int) -> DataFrame:
             own = np.flatnonzero(repeated == done)
             own = own[np.lexsort((number[own], tag[own], doc[own], part[own]))]
             at = runs(part[own])
-            for i, j in zip(at, [*at[1:], len(own)], strict=True):
+            for i, j in bounds(at, len(own)):
                 rows = own[i:j]
                 heads = runs(doc[rows], tag[rows])
                 out["part"].append(int(part[rows[0]]))
@@ -246,7 +253,7 @@ def ordered_places(docs: DataFrame, open_places: DataFrame, length: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(hit)) for i in range(2)], names=["doc_id", "text"])
 
     def phrases(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = {k: [] for k in ("part", "docs", "tags", "places", "lefts", "rights", "bytes")}
             for x, body, tag, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 body = (body or "").encode("utf-8", "surrogatepass")
@@ -270,7 +277,7 @@ def ordered_places(docs: DataFrame, open_places: DataFrame, length: int) -> Data
                 x = {k: v[order] for k, v in x.items()}
                 at = runs(x["part"])
                 kinds = {"docs": "<i8", "tags": "<u4", "places": "<u4", "lefts": "u1", "rights": "u1", "bytes": "u1"}
-                out = {"part": x["part"][at]} | {k: [x[k][i:j].astype(kind).tobytes() for i, j in zip(at, [*at[1:], len(order)], strict=True)] for k, kind in kinds.items()}
+                out = {"part": x["part"][at]} | {k: [x[k][i:j].astype(kind).tobytes() for i, j in bounds(at, len(order))] for k, kind in kinds.items()}
                 yield pa.RecordBatch.from_pydict(out)
 
     def order(batches):
@@ -332,6 +339,13 @@ def removed_spans(body: bytes, places: list[tuple[int, bytes]], length: int) ->
     return list(zip(np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist(), strict=True))
 
 
+def sliced(batches, rows: int = 1000):
+    """Views of at most ``rows`` rows, so that few texts are unpacked at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """One row per row of ``docs``: doc_id (long), n_bytes, spans (start, end) removed and the bytes kept.
 
@@ -345,7 +359,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hashed, words = admitted(rows, places)
 
     def split(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             hit = idfilter.admits(words.value, batch.column(2).to_numpy()) & np.array(batch.column(0).is_valid())
             bodies = [(b.as_py() or "").encode("utf-8", "surrogatepass") for b in batch.column(1)]
             whole = [None if h else hashlib.sha256(b).hexdigest() for h, b in zip(hit, bodies, strict=True)]
@@ -354,7 +368,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), pa.array(whole, pa.string())], names=["doc_id", "n_bytes", "body", "whole_sha256"])
 
     def cut_out(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             spans, kept, whole = [], [], []
             for body, sha, places in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
                 found = []
