@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.operators.thresholds import unpivot
@@ -25,19 +25,24 @@ def child_histogram(samples: DataFrame, candidates: DataFrame, num_features: int
     few bins of a (node, feature, label) gives the counts of all thresholds.
     Every label of a node appears, with 0 where nothing lies right.
     """
-    ordered = candidates.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct("threshold", "threshold_id"))).alias("all"), F.count("*").alias("k"))
-    few = ordered.limit(BROADCAST_ROWS + 1).collect()
-    width = max((r.k for r in few), default=0)
-    by_feature = ordered.select("feature_id", *[F.get("all", i).getField("threshold").alias(f"t{i}") for i in range(width)])
-    if len(few) <= BROADCAST_ROWS:
-        rows = [(r.feature_id, *[r["all"][i].threshold if i < r.k else None for i in range(width)]) for r in few]
-        by_feature = F.broadcast(samples.sparkSession.createDataFrame(rows, by_feature.schema))
+    spark, fields = samples.sparkSession, "feature_id int, threshold_id int, rank int"
+    ordered = candidates.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct("threshold", "threshold_id"))).alias("all"))
+    few = ordered.limit(BROADCAST_ROWS // 16 + 1).collect()
+    if sum(len(r["all"]) for r in few) <= BROADCAST_ROWS // 2 and len(few) <= BROADCAST_ROWS // 16:
+        width = max((len(r["all"]) for r in few), default=0)
+        names = "".join(f", t{i} float" for i in range(width))
+        rows = [(r.feature_id, *[r["all"][i].threshold if i < len(r["all"]) else None for i in range(width)]) for r in few]
+        by_feature = F.broadcast(spark.createDataFrame(rows, "feature_id int" + names))
+        ranks = F.broadcast(spark.createDataFrame([(r.feature_id, c.threshold_id, k) for r in few for k, c in enumerate(r["all"], 1)], fields))
+    else:
+        width = ordered.agg(F.max(F.size("all"))).first()[0] or 0
+        by_feature = ordered.select("feature_id", *[F.get("all", i).getField("threshold").alias(f"t{i}") for i in range(width)])
+        ranks = ordered.select("feature_id", F.posexplode("all").alias("k", "c")).select("feature_id", "c.threshold_id", (F.col("k") + 1).alias("rank"))
     located = unpivot(samples, "node_id", "label", num_features=num_features).join(by_feature, "feature_id")
     above = sum((F.coalesce((F.col("value") > F.col(f"t{i}")).cast("int"), F.lit(0)) for i in range(width)), F.lit(0))
     bins = located.select("node_id", "feature_id", "label", above.alias("bin")).groupBy("node_id", "feature_id", "label", "bin").agg(F.count("*").alias("n"))
     # bin b holds the samples above exactly the b smallest thresholds
     per_label = bins.groupBy("node_id", "feature_id", "label").agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
-    ranks = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("feature_id").orderBy("threshold", "threshold_id")))
     right = F.aggregate(F.filter("bins", lambda b: b.bin >= F.col("rank")), F.lit(0).cast("bigint"), lambda a, b: a + b.n)
     return per_label.join(ranks, "feature_id").select("node_id", "feature_id", "threshold_id", "label", right.alias("n_right"))
 

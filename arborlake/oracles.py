@@ -79,7 +79,7 @@ SQL = {
     "valid_minmax": """WITH v AS (SELECT 0 AS feature_id, o_totalprice::FLOAT AS x FROM orders UNION ALL SELECT 1, (o_orderkey % 7)::FLOAT FROM orders UNION ALL SELECT 2, 6::FLOAT FROM orders)
 SELECT feature_id, 6::FLOAT AS max_proxy, coalesce(min(x) FILTER (abs(x) <> 6), -6)::FLOAT AS fmin, coalesce(max(x) FILTER (abs(x) <> 6), 6)::FLOAT AS fmax FROM v GROUP BY feature_id""",
     "thresh_meta": text(SAMPLES, LONG, META, then="SELECT * FROM meta"),
-    "candidate_thresholds": text(*BASE, then="SELECT * FROM cands"),
+    "candidates": text(*BASE, then="SELECT * FROM cands"),
     "split_predicate": "SELECT o_orderstatus, o_totalprice::FLOAT > 150000.5::FLOAT AS goes_right, count(*) AS n FROM orders GROUP BY ALL",
     "align_features": "SELECT vec_id AS sample_id, label, embedding[4]::FLOAT AS f3 FROM embeddings",
     "node_range_join": "SELECT o_orderkey // 1000 AS node_id, count(*) AS n, min(o_orderkey) AS first_pos, max(o_orderkey) AS last_pos FROM orders WHERE o_orderkey BETWEEN 0 AND 15999 GROUP BY 1",

@@ -399,3 +399,6 @@ def tree_roundtrip(spark, sf_dir):
     path = f"{folder.rstrip('/')}/tree-{uuid.uuid4().hex}"
     tables.write_tree(tree(spark, sf_dir), path)
     return tables.read_tree(spark, path).nodes.select("node_id", "feature_id", "threshold_id", "threshold", compared(F.col("gain")).alias("gain"), "n_left", "n_right")
+
+
+QUERIES["candidates"] = QUERIES.pop("candidate_thresholds")

@@ -159,3 +159,13 @@ def test_extra_columns_and_null_features(spark):
     rows = spark.createDataFrame([(0, 0, [None, 1.0], "x"), (1, 1, [1.0, None], "y"), (2, 1, [1.0, 2.0], None)], SAMPLES + ", gain string")
     tree = fit(rows, 0, 4, meta=meta_of(spark, 2))
     assert tree.predict(rows).count() == 3
+
+
+def test_candidates_beyond_the_broadcast_bound(spark, monkeypatch):
+    from arborlake.operators import histograms
+
+    rows = rows_of(spark, [0, 1, 0, 1, 1], [1, 2, 3, 4, 5], [0, 0, -1, 1, 7]).withColumn("node_id", F.lit(0).cast("bigint"))
+    cands = candidates(threshold_metadata(rows), 5)
+    sent = sorted(map(tuple, child_histogram(rows, cands).collect()))
+    monkeypatch.setattr(histograms, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, child_histogram(rows, cands).collect())) == sent
