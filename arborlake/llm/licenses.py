@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.llm.common import fresh, quoted
+from arborlake.llm.common import cut, fresh, quoted
 
 # Names and notices of public licences.
 TEMPLATES = [
@@ -135,8 +135,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> tuple[Data
     own = own.withColumn(folder, F.regexp_replace(quoted(path), r"/?[^/]*$", ""))
     is_file = quoted(whole) | (quoted(names["own_license"]).isNotNull() & quoted(path).rlike(LICENSE_FILE))
     rank = F.struct((-quoted(names["own_score"])).alias("s"), quoted(names["own_license"]).alias("l"))
-    licensed = own.where(is_file & quoted(folder).isNotNull()).groupBy(quoted(folder).alias("ancestor")).agg(F.min(rank).getField("l").alias("inherited"))
-    folders = own.where(quoted(names["own_license"]).isNull() & quoted(folder).isNotNull()).select(quoted(folder).alias("folder")).distinct()
+    # one row a folder, kept, so that texts are scanned once for this and once for the result
+    summary = cut(own.where(quoted(folder).isNotNull()).groupBy(quoted(folder).alias("folder")).agg(F.min(F.when(is_file, rank)).getField("l").alias("inherited"), F.max(quoted(names["own_license"]).isNull()).alias("asks")))
+    licensed = summary.where("inherited is not null").select(F.col("folder").alias("ancestor"), "inherited")
+    folders = summary.where("asks").select("folder")
     steps = F.split("folder", "/")
     above = folders.select("folder", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("depth", "ancestor"))
     nearest = above.join(licensed, "ancestor").groupBy("folder").agg(F.max_by(F.struct("ancestor", "inherited"), "depth").alias("near"))
