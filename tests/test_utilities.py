@@ -163,3 +163,14 @@ def test_prediction_on_a_stream(spark, tmp_path):
     assert spark.table("predicted").where("label = prediction").count() == 16
     with pytest.raises(ValueError):
         predict_stream(rows, tree)
+
+
+def test_sweep_runs_and_refuses(spark, tmp_path):
+    from arborlake.plans.sweep import run_sweep
+
+    rows = run_sweep(spark, [64], [4], [1], num_thresholds=4, cap_mb=60)
+    got = rows.collect()
+    assert {r.suite for r in got} == {"samples", "features", "depths"} and all(r.status == "ok" and r.final_success_pct == 100 for r in got)
+    assert {r.status for r in run_sweep(spark, [64], [4], [1], cap_mb=1).collect()} == {"refused"}
+    tables.write_benchmark(rows, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
