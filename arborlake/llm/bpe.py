@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 
 from arborlake.llm.common import fresh
 
-#: Runs of text a worker remembers; beyond it, it starts anew.
-REMEMBERED = 500_000
+#: Runs of text and words that a worker remembers; beyond it, it starts anew.
+REMEMBERED_RUNS, REMEMBERED_WORDS = 150_000, 300_000
 #: Bytes of results in one Arrow batch.
 BATCH_BYTES = 8 << 20
 #: Unicode White_Space, which regular expressions of tokenizers call \s.
@@ -176,7 +176,7 @@ class Codec(dict):
         found = self.words.get(word)
         if found is None:
             ids = self.automaton.encode(word)
-            if len(self.words) >= REMEMBERED:
+            if len(self.words) >= REMEMBERED_WORDS:
                 self.words.clear()
             found = self.words[word] = (np.array(ids, "<u4").tobytes(), " ".join([self.label[i] for i in ids]))
         return found
@@ -192,7 +192,7 @@ class Codec(dict):
         else:
             parts = [self._word(w) for w in self._words(run)]
         found = parts[0] if len(parts) == 1 else (b"".join([x for x, _ in parts]), " ".join([x for _, x in parts]))
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED_RUNS:
             self.clear()
         self[run] = found
         return found
