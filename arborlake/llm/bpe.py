@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections import defaultdict
 from functools import lru_cache
 
@@ -47,6 +48,8 @@ SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 #: What str.split() also takes for spaces.
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 
+#: Lengths to try where no token begins with the next two characters.
+ONE = (1,)
 #: Below it no character has a canonical composition with another one below it.
 FAR = "\u0300"
 #: The steps of a public lower-casing tokenizer.
@@ -73,16 +76,13 @@ class MergeAutomaton:
                 continue
             self.merged[u, v] = time
             self.left[new], self.right[new], self.born[new] = u, v, time
-        #: Lengths of tokens, longest first, by their first two characters; of those inside and at the end of a word.
-        inside, last = defaultdict(set), defaultdict(set)
+        #: Lengths of tokens inside a word, longest first, by their first two characters; the longest at its end.
+        inside: dict[str, set[int]] = defaultdict(set)
         for t in self.vocab:
             if not end or not t.endswith(end):
                 inside[t[:2]].add(len(t))
-            if end and t.endswith(end) and len(t) > len(end):
-                t = t.removesuffix(end)
-                last[t[:2]].add(len(t))
-        self.lengths = {k: sorted(x, reverse=True) for k, x in inside.items()}
-        self.ends = last if end else inside
+        self.lengths = {k: tuple(sorted(x | {1}, reverse=True)) for k, x in inside.items()}
+        self.longest_end = max((len(t) - len(end) for t in self.vocab if t.endswith(end)), default=0)
 
     def _arc(self, x: int, y: int, limit: int) -> bool:
         """Is there an arc (x, y) just before ``limit``?"""
@@ -105,39 +105,40 @@ class MergeAutomaton:
             found = self.known[x, y] = self._arc(x, y, 1 << 60)
         return found
 
-    def _arcs_out(self, word: str, at: int) -> list[tuple[int, int]]:
-        """Tokens that spell what follows ``at``, longest last, each with where it ends."""
-        n, vocab, start = len(word), self.vocab, word[at : at + 2]
-        out = [(vocab[t], at + k) for k in sorted({1, *self.lengths.get(start, ())}) if at + k < n and (t := word[at : at + k]) in vocab]
-        if n - at in self.ends.get(start, ()) and (t := word[at:] + self.end) in vocab:
-            out.append((vocab[t], n))
-        return out
-
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-split word: the only path of arcs that spells it.
 
-        A prefix has one path at most, so a position whose arcs lead nowhere
-        never has to be entered again.
+        Longer tokens are tried first.  A prefix has one path at most, so a
+        position whose arcs lead nowhere never has to be entered again.
         """
-        n, dead = len(word), set()
-        if not n:
-            return []
-        path, ends, open_arcs = [], [0], [self._arcs_out(word, 0)]
-        while ends[-1] < n:
-            arcs = open_arcs[-1]
-            while arcs:
-                token, end = arcs.pop()
-                if end not in dead and (not path or self.arc(path[-1], token)):
+        n, spelled, get = len(word), word + self.end, self.vocab.get
+        path, trail, dead = [], [], set()
+        at, tried, last = 0, 0, -1
+        lengths = self.lengths.get(word[:2], ONE)
+        while n:
+            if not tried and n - at <= self.longest_end:
+                token = get(spelled[at:])
+                if token is not None and (last < 0 or self.arc(last, token)):
                     path.append(token)
-                    ends.append(end)
-                    open_arcs.append(self._arcs_out(word, end) if end < n else [])
-                    break
+                    return path
+            for k in lengths[tried:]:
+                tried += 1
+                end = at + k
+                if end < n and end not in dead:
+                    token = get(word[at:end])
+                    if token is not None and (last < 0 or self.arc(last, token)):
+                        trail.append((at, tried, lengths))
+                        path.append(token)
+                        at, tried, last = end, 0, token
+                        lengths = self.lengths.get(word[at : at + 2], ONE)
+                        break
             else:
                 if not path:
                     raise ValueError(f"no path spells {word!r}")
-                dead.add(ends.pop())
-                open_arcs.pop()
+                dead.add(at)
+                at, tried, lengths = trail.pop()
                 path.pop()
+                last = path[-1] if path else -1
         return path
 
 
@@ -178,7 +179,7 @@ class Codec(dict):
             ids = self.automaton.encode(word)
             if len(self.words) >= REMEMBERED_WORDS:
                 self.words.clear()
-            found = self.words[word] = (np.array(ids, "<u4").tobytes(), " ".join([self.label[i] for i in ids]))
+            found = self.words[word] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.label[i] for i in ids]))
         return found
 
     def __missing__(self, run: str) -> tuple[bytes, str]:
@@ -199,8 +200,8 @@ class Codec(dict):
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids and the decoded text of a whole text."""
-        runs = SPACES.split(text) if NOT_SPACES.search(text) else text.split()
-        found = [self[r] for r in runs if r]
+        runs = filter(None, SPACES.split(text)) if NOT_SPACES.search(text) else text.split()
+        found = list(map(self.__getitem__, runs))
         return b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])
 
     def decode(self, ids) -> str:
