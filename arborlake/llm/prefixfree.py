@@ -324,17 +324,16 @@ def repeats(hashes: np.ndarray, docs: np.ndarray, strings: np.ndarray) -> np.nda
 
 def removed_spans(body: bytes, places: list[tuple[int, bytes]], length: int) -> list[tuple[int, int]]:
     """Maximal removed runs of one text from its rows of places."""
-    edge = np.zeros(len(body) + 1, np.int64)
-    for kind, data in places:
-        x = np.frombuffer(data, "<u4").astype(np.int64)
-        if kind == REPEATED:
-            first, last = starts_of(parse(body, length)[0][x], len(body), length)
-            good = first <= last
-            np.add.at(edge, first[good], 1)
-            np.add.at(edge, last[good] + length, -1)
-        elif kind == STARTS:
-            np.add.at(edge, x, 1)
-            np.add.at(edge, x + length, -1)
+    begin, end = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    numbers = np.frombuffer(b"".join([data for kind, data in places if kind == REPEATED]), "<u4")
+    if len(numbers):
+        first, last = starts_of(parse(body, length)[0][numbers], len(body), length)
+        good = first <= last
+        begin.append(first[good])
+        end.append(last[good] + length)
+    starts = np.frombuffer(b"".join([data for kind, data in places if kind == STARTS]), "<u4").astype(np.int64)
+    begin, end = np.concatenate([*begin, starts]), np.concatenate([*end, starts + length])
+    edge = np.bincount(begin, minlength=len(body) + 1) - np.bincount(end, minlength=len(body) + 1)
     covered = np.diff((np.cumsum(edge[:-1]) > 0).astype(np.int8), prepend=0, append=0)
     return list(zip(np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist(), strict=True))
 
