@@ -141,7 +141,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> tuple[Data
     folders = summary.where("asks").select("folder")
     steps = F.split("folder", "/")
     above = folders.select("folder", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("depth", "ancestor"))
-    nearest = above.join(licensed, "ancestor").groupBy("folder").agg(F.max_by(F.struct("ancestor", "inherited"), "depth").alias("near"))
+    # cut, so that the join with files has a shuffle of its own on both sides and a folder of many files can be split
+    nearest = cut(above.join(licensed, "ancestor").groupBy("folder").agg(F.max_by(F.struct("ancestor", "inherited"), "depth").alias("near")))
     joined = own.join(nearest, quoted(folder) == F.col("folder"), "left")
     has = quoted(names["own_license"]).isNotNull()
     return joined.select(
