@@ -53,6 +53,17 @@ def left_histogram(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 
 def node_of_position(positions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Range join: each position with the node whose [idx_begin, idx_end] holds it."""
+    """Range join: each position with the node whose [idx_begin, idx_end] holds it.
+
+    Ranges are cut where multiples of their mean width lie and joined by that
+    multiple, so no position is compared with all ranges; the pieces are at
+    most three times the ranges.
+    """
+    filled = ranges.where("idx_begin <= idx_end")
+    n, width = filled.agg(F.count("*"), F.ceil(F.avg(F.col("idx_end") - F.col("idx_begin") + 1))).first()
+    step = F.lit(int(width or 1)).cast("bigint")
+    part = lambda c: F.call_function("div", F.col(c), step)
+    pieces = filled.withColumn("part", F.explode(F.sequence(part("idx_begin"), part("idx_end"))))
+    pieces = F.broadcast(pieces) if 3 * n <= BROADCAST_ROWS else pieces
     on = (F.col("pos") >= F.col("idx_begin")) & (F.col("pos") <= F.col("idx_end"))
-    return positions.join(F.broadcast(ranges), on).select("pos", "node_id")
+    return positions.withColumn("part", part("pos")).join(pieces, "part").where(on).select("pos", "node_id")

@@ -142,9 +142,11 @@ def align_features(spark, sf_dir):
 
 @query
 def node_range_join(spark, sf_dir):
-    """Positions of orders in ranges of ids, as nodes own contiguous ranges."""
-    ranges = spark.range(16).select(F.col("id").alias("node_id"), (F.col("id") * 1000).alias("idx_begin"), (F.col("id") * 1000 + 999).alias("idx_end"))
+    """Positions of orders in ranges of 1000 ids, as nodes own contiguous ranges; the ranges reach over all ids."""
     positions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"))
+    low, high = positions.agg(F.min("pos"), F.max("pos")).first()
+    nodes = spark.range(0) if low is None else spark.range(low // 1000, high // 1000 + 1)
+    ranges = nodes.select(F.col("id").alias("node_id"), (F.col("id") * 1000).alias("idx_begin"), (F.col("id") * 1000 + 999).alias("idx_end"))
     return node_of_position(positions, ranges).groupBy("node_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
