@@ -152,8 +152,9 @@ def node_range_join(spark, sf_dir):
 
 @query
 def tile_samples(spark, sf_dir):
+    """All samples twice and the first 234 once more."""
     rows = samples(spark, sf_dir).select("sample_id", "label")
-    return datasets.tile(rows, 1234)
+    return datasets.tile(rows, 2 * rows.count() + 234)
 
 
 @query

@@ -24,3 +24,10 @@ def test_range_join_against_brute_force(spark):
     positions = [*range(-60, 60), *range(4980, 5010), 2**60 - 1, 2**60 + 7, 2**60 + 8, None, 5, 5]
     got = node_of_position(spark.createDataFrame([(p,) for p in positions], "pos bigint"), spark.createDataFrame(ranges, "node_id bigint, idx_begin bigint, idx_end bigint"))
     assert Counter(map(tuple, got.collect())) == Counter((p, k) for p in positions if p is not None for k, a, b in ranges if a <= p <= b)
+
+
+def test_tile_samples_repeats_every_sample(spark, tmp_path):
+    n = 1500
+    spark.range(n).selectExpr("id AS vec_id", "int(id % 10) AS label", "array(0f) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = entry.queries()["tile_samples"](spark, str(tmp_path)).collect()
+    assert sorted(r.sample_id for r in rows) == list(range(2 * n + 234)) and all(r.label == r.sample_id % n % 10 for r in rows)
