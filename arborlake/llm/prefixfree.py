@@ -13,12 +13,13 @@ never leaves the phrase of a trigger in it.
 smaller document, all strings of the phrase do, and nothing more is compared;
 phrases of a trigger that occurs in one document need nothing at all.
 
-*Order.*  What is left are the first occurrences of different phrases that share
-a trigger.  Their suffixes are put in order, one suffix array for each distance
-to the trigger, cut at ``length`` bytes since later bytes cannot decide; equal
-neighbours are confirmed byte by byte and the smallest document wins.  As a
-phrase already reaches ``length`` bytes on, the suffix array of the parse would
-only add the list of places of each phrase, which the join on ids gives.
+*Strings.*  What is left are the first occurrences of different phrases that
+share a trigger.  Their ``length``-byte strings are grouped by a 64-bit hash, for
+each distance to the trigger; equal hashes are confirmed byte by byte and the
+smallest document wins.  No suffix array is built, of the dictionary or of the
+parse: only equality is asked for, which needs no order, and as a phrase already
+reaches ``length`` bytes on, the parse's array would only list the places of each
+phrase, which the join on triggers gives.
 
 Occurrences that a smaller document of the same batch repeats are settled in
 the batch, so a passage of all documents is shuffled once a batch.  Phrases
