@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java regular expression of a word: a run without the six ASCII spaces.
@@ -55,3 +55,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's decimal text is 2 modulo 4; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame, doc_id: str, mark: str) -> DataFrame:
+    """One row of ``docs``, without ``mark``, for each row (kept_id, kept_mark) of ``kept`` that has its id, nulls equal, and its mark.
+
+    Of several such rows the one with the smallest hash of its columns stays.
+    """
+    key, place = fresh(docs, "id_key", "row_place")
+    as_key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    kept = kept.select(as_key(F.col("kept_id")).alias("kept_key"), "kept_mark")
+    found = docs.withColumn(key, as_key(quoted(doc_id))).join(kept, (quoted(key) == F.col("kept_key")) & (quoted(mark) == F.col("kept_mark")), "left_semi")
+    order = Window.partitionBy(quoted(key), quoted(mark)).orderBy(F.xxhash64(*[quoted(c) for c in docs.columns]))
+    return found.withColumn(place, F.row_number().over(order)).where(quoted(place) == 1).select(*[quoted(c) for c in docs.columns if c != mark])

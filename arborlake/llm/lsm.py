@@ -25,13 +25,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 from itertools import groupby
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import cut, quoted, shuffle_partitions
+from arborlake.llm.common import cut, fresh, one_row_each, quoted, shuffle_partitions
 
 #: Bytes of distinct text that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 48 << 20
@@ -268,7 +269,11 @@ def mark_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stay; rows that repeat an id share its fate."""
-    kept = mark_duplicates(docs, doc_id=doc_id, **options).where("kept").select(F.col("doc_id").alias("lsm_kept_id")).distinct()
-    return docs.join(kept, quoted(doc_id).eqNullSafe(F.col("lsm_kept_id")), "left_semi")
+def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each set of equal texts, null and repeated ids included."""
+    kept = mark_duplicates(docs, doc_id=doc_id, text=text, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_mark"))
+    mark = fresh(docs, "text_sha256")[0]
+    body = F.coalesce(quoted(text), F.lit(""))
+    # as normalise; lower() is faster, and the same on ASCII
+    plain = F.when(F.octet_length(body) == F.char_length(body), F.lower(body)).otherwise(F.translate(body, ascii_uppercase, ascii_lowercase))
+    return one_row_each(docs.withColumn(mark, F.sha2(plain.cast("binary"), 256)), kept, doc_id, mark)

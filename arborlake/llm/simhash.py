@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.llm.common import cut, fresh, quoted, shuffle_partitions
+from arborlake.llm.common import cut, fresh, one_row_each, quoted, shuffle_partitions
 from arborlake.llm.graph import connected_components
 
 #: Members of a bucket that one task compares with each other.
@@ -246,19 +246,27 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition(shuffle_partitions(spark), "grp").sortWithinPartitions("grp").select("grp", "fp", "second").mapInArrow(compare, "a bigint, b bigint")
 
 
+def rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, simhash) -> fp, least (smallest id that has it), root: one row a fingerprint, with its component."""
+    prints = cut(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(prints.select("fp"), radius))
+    return prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, simhash, component_id (smallest id that links reach)."""
     found, name = fingerprints(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), "text", words)
     rows = cut(found.select("doc_id", F.col(name).alias("simhash")))
-    prints = cut(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(prints.select("fp"), radius))
-    of = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of = rooted(rows, radius)
     names = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(names, "root").select("fp", "component_id")
     return rows.join(of, rows.simhash == of.fp).select("doc_id", "simhash", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component; rows without an id stay."""
-    lead = components(docs, doc_id=doc_id, **options).where("doc_id = component_id").select(F.col("doc_id").alias("simhash_kept_id")).distinct()
-    return docs.where(quoted(doc_id).isNotNull()).join(lead, quoted(doc_id) == F.col("simhash_kept_id"), "left_semi").unionByName(docs.where(quoted(doc_id).isNull()))
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component: one with the smallest id, or without an id where none has one."""
+    found, mark = fingerprints(docs, text, words)
+    rows = cut(found)  # whole rows, so that the marks are those of the rows that stay
+    of = rooted(rows.select(quoted(doc_id).alias("doc_id"), quoted(mark).alias("simhash")), radius)
+    lead = of.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("lead"))
+    return one_row_each(rows, lead.select(F.col("lead.least").alias("kept_id"), F.col("lead.fp").alias("kept_mark")), doc_id, mark)
