@@ -195,22 +195,104 @@ def test_passages_hard_cases(spark):
     assert prefixfree.remove_repeats(hard(spark)).count() == 24
 
 
-def test_long_texts_are_parsed_in_blocks(monkeypatch):
-    body = bytes(np.random.default_rng(2).integers(97, 100, 5000, np.uint8))
-    whole = prefixfree.parse(body, 50)
-    monkeypatch.setattr(prefixfree, "BLOCK", 313)
-    assert all((a == b).all() for a, b in zip(whole, prefixfree.parse(body, 50), strict=True))
+def blocks_of(texts, parts=3, size=4):
+    """Blocks of some texts each, with ids in order."""
+    for i in range(0, len(texts), size):
+        own = texts[i : i + size]
+        ids, sizes = np.arange(i, i + len(own), dtype="<i8"), np.array([len(b) for b in own], "<i8")
+        yield prefixfree.Block(ids.tobytes(), np.ones(len(own), bool).tobytes(), sizes.tobytes(), b"\0".join([*own, b""]), 50, parts)
+
+
+def locally(texts, hot, parts=3):
+    """Removed bytes of each text by the operator's steps without Spark."""
+    blocks = list(blocks_of(texts, parts))
+    listed = [dict(b.listed()) for b in blocks]
+    learned = [[] for _ in blocks]
+    for part in range(parts):
+        has = [i for i, x in enumerate(listed) if part in x]
+        found = prefixfree.shared([np.frombuffer(listed[i][part], "<u4") for i in has], hot) if has else []
+        for i, data in zip(has, found, strict=True):
+            if data is not None:
+                learned[i].append((part, data))
+    sent = []
+    for block, known in zip(blocks, learned, strict=True):
+        block.entries(known)
+        sent.append({x[0]: x[1:] for x in block.sent()})
+    bits = [[] for _ in blocks]
+    for part in range(parts):
+        for_part = [(i, x[part]) for i, x in enumerate(sent) if part in x]
+        if for_part:
+            columns = [[np.frombuffer(x[k], kind) for _, x in for_part] for k, kind in enumerate(("u1", "<i8", "u1"))]
+            counts = [c.astype(np.int64) for c in columns[0]]
+            found = prefixfree.smaller(np.concatenate(counts), np.concatenate(columns[1]), np.concatenate(columns[2]), 50)
+            ends = np.cumsum([n.sum() for n in counts])
+            for (i, _), a, b in zip(for_part, [0, *ends[:-1]], ends, strict=True):
+                bits[i].append((part, np.packbits(found[a:b]).tobytes()))
+    out = []
+    for block, own in zip(blocks, bits, strict=True):
+        gone = block.removed(own)
+        out += [bytes(gone[a : a + n].view(np.uint8)) for a, n in zip(block.begin, block.sizes, strict=True)]
+    return out
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=0, max_size=400), st.integers(2, 255))
-def test_every_string_holds_a_trigger(body, letters):
-    body = bytes(x % letters for x in body)
-    at = prefixfree.parse(body, 50)[0]
-    for p in range(len(body) - 49):
-        assert ((at >= p) & (at + prefixfree.TRIGGER <= p + 50)).any()
+def passages(seed, n=24):
+    """Texts of few letters with copies, repeats of a byte, zeros and a common line in other surroundings."""
+    rng = np.random.default_rng(seed)
+    texts = [bytes(rng.integers(97, 100, rng.integers(0, 400), np.uint8)) for _ in range(n)]
+    line = bytes(rng.integers(97, 123, 70, np.uint8))
+    for i in range(0, n, 2):
+        at = rng.integers(0, len(texts[i]) + 1)
+        texts[i] = texts[i][:at] + line + texts[i][at:]
+    texts[5], texts[7], texts[9], texts[11] = texts[4], texts[4][10:], b"\0" * 200, b"a" * 300
+    texts[13], texts[15], texts[17] = b"\0" * 120, b"a" * 90 + texts[2], b"ab" * 90
+    return texts
+
+
+def covered(texts):
+    seen, out = {}, []
+    for i, b in enumerate(texts):
+        cover = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if seen.setdefault(b[p : p + 50], i) < i:
+                cover[p : p + 50] = b"\1" * 50
+        out.append(bytes(cover))
+    return out
+
 
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("hot", [1 << 30, 3, 0])
+def test_steps_against_brute_force(seed, hot):
+    """Phrases compared whole, or cut into their strings."""
+    texts = passages(seed)
+    assert locally(texts, hot) == covered(texts)
 
-def test_colliding_hashes_are_told_apart():
-    strings = np.array([list(b"aaaa"), list(b"bbbb"), list(b"aaaa"), list(b"bbbb")], np.uint8)
-    assert prefixfree.repeats(np.zeros(4, np.uint64), np.array([1, 2, 3, 2]), strings).tolist() == [False, False, True, False]
+
+@pytest.mark.parametrize("hot", [1 << 30, 0])
+def test_hashes_only_choose(monkeypatch, hot):
+    """Where all hashes collide, bytes still decide."""
+    monkeypatch.setattr(prefixfree, "row_hashes", lambda rows: np.full(len(rows), 7, np.uint64))
+    hashes = prefixfree.gram_hashes
+    monkeypatch.setattr(prefixfree, "gram_hashes", lambda x, k: hashes(x, k) & np.uint64(0x300000003))
+    texts = passages(9)
+    assert locally(texts, hot) == covered(texts)
+
+
+def test_long_texts_are_parsed_in_pieces(monkeypatch):
+    body = np.random.default_rng(2).integers(97, 100, 5000, np.uint8)
+    body[1000:2000] = 97
+    cut = np.array([0, 700, 760, 3000]), np.array([699, 59, 2000, 2000])
+    whole = prefixfree.parse(body, *cut, 50)
+    monkeypatch.setattr(prefixfree, "PIECE", 313)
+    assert all((a == b).all() for a, b in zip(whole, prefixfree.parse(body, *cut, 50), strict=True))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=0, max_size=400), st.integers(1, 255))
+def test_every_string_starts_in_one_phrase(body, letters):
+    x = np.frombuffer(bytes(b % letters for b in body), np.uint8)
+    at, count, triggers = prefixfree.parse(x, np.array([0]), np.array([len(x)]), 50)
+    starts = [p for a, n in zip(at, count, strict=True) for p in range(a, a + n)]
+    assert starts == list(range(len(x) - 49)) and (len(count) == 0 or 1 <= count.min() <= count.max() <= 31)
+    of = {}
+    for p, t in zip(starts, np.repeat(triggers, count), strict=True):
+        assert of.setdefault(x[p : p + 50].tobytes(), t) == t
