@@ -10,13 +10,16 @@ every other.  Merge k, (u, v) -> uv, applies one merge gadget:
 
 Copying rows and columns of 49,000 states is not affordable, so a new row or
 column is kept as a reference to the one it was copied from, with the time of
-the copy; ``arc`` follows these references and remembers what it finds.  The
-result is the same deterministic automaton: each prefix of a word has exactly
-one path, so one state a position is enough to run it.
+the copy; ``arc`` follows these references and enters what it finds in a table
+of fixed size, in which a later arc may replace an earlier one.  The result is
+the same deterministic automaton: each prefix of a word has exactly one path, so
+one state a position is enough to run it.  Which token comes next is not known
+from the last one alone: a word's path is found by trying the arcs of its next
+characters, the longest first, and leaving positions from which no arc goes on.
 
 The tokenizer's own normalizer and pre-tokenizer split text into words; they
 act within runs of non-space characters, so each distinct run is encoded once
-and kept in a bounded table.
+and kept in a table bounded in bytes.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and
 decodes to ""; a text longer than memory for one row is not supported by Spark
@@ -26,6 +29,7 @@ stay as they are.
 
 from __future__ import annotations
 
+import array
 import json
 import re
 import struct
@@ -39,9 +43,13 @@ from pyspark.sql import types as T
 
 from arborlake.llm.common import fresh
 
-#: Runs of text and words that a worker remembers; beyond it, it starts anew.
-REMEMBERED_RUNS, REMEMBERED_WORDS = 150_000, 300_000
-#: Bytes of results in one Arrow batch.
+#: Bytes of runs of text, and of words, that a worker remembers; beyond it, it starts anew.
+REMEMBERED = 40 << 20
+#: Bytes that a remembered entry takes besides its characters and ids; longer runs are not remembered.
+ENTRY, LONGEST = 300, 200
+#: Arcs that a worker's table holds, 8 bytes each.
+ARCS = 1 << 20
+#: Bytes of texts and results in one Arrow batch.
 BATCH_BYTES = 8 << 20
 #: Unicode White_Space, which regular expressions of tokenizers call \s.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -65,7 +73,8 @@ class MergeAutomaton:
         self.vocab, self.end = dict(vocab), end
         self.left, self.right, self.born = [-1] * size, [-1] * size, [0] * size
         self.merged: dict[tuple[int, int], int] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        #: Arc (x, y) in slot (x * size + y) % ARCS, followed by whether it exists.
+        self.size, self.known = size, array.array("q", [-1]) * ARCS
         for time, (a, b) in enumerate(merges, 1):
             u, v, new = vocab[a], vocab[b], vocab[a + b]
             if self.born[new] or (u, v) in self.merged:
@@ -98,12 +107,11 @@ class MergeAutomaton:
 
     def arc(self, x: int, y: int) -> bool:
         """The compiled transition table, filled as it is used."""
-        found = self.known.get((x, y))
-        if found is None:
-            if len(self.known) > 2_000_000:
-                self.known.clear()
-            found = self.known[x, y] = self._arc(x, y, 1 << 60)
-        return found
+        key = x * self.size + y
+        found = self.known[key % ARCS]
+        if found >> 1 != key:
+            found = self.known[key % ARCS] = key << 1 | self._arc(x, y, 1 << 60)
+        return found & 1 == 1
 
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-split word: the only path of arcs that spells it.
@@ -156,6 +164,7 @@ class Codec(dict):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.run_bytes = self.word_bytes = 0
         #: The one kind of normalizer and pre-tokenizer that has a short way for runs of characters below FAR.
         steps = json.dumps(spec["normalizer"]), json.dumps(spec["pre_tokenizer"])
         self.plain = steps == (NORMALIZER, PRE_TOKENIZER)
@@ -177,9 +186,13 @@ class Codec(dict):
         found = self.words.get(word)
         if found is None:
             ids = self.automaton.encode(word)
-            if len(self.words) >= REMEMBERED_WORDS:
-                self.words.clear()
-            found = self.words[word] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.label[i] for i in ids]))
+            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.label[i] for i in ids])
+            if len(word) <= LONGEST:
+                self.word_bytes += ENTRY + 4 * len(word) + 8 * len(ids)
+                if self.word_bytes > REMEMBERED:
+                    self.words.clear()
+                    self.word_bytes = 0
+                self.words[word] = found
         return found
 
     def __missing__(self, run: str) -> tuple[bytes, str]:
@@ -193,9 +206,12 @@ class Codec(dict):
         else:
             parts = [self._word(w) for w in self._words(run)]
         found = parts[0] if len(parts) == 1 else (b"".join([x for x, _ in parts]), " ".join([x for _, x in parts]))
-        if len(self) >= REMEMBERED_RUNS:
-            self.clear()
-        self[run] = found
+        if len(run) <= LONGEST:
+            self.run_bytes += ENTRY + 4 * len(run) + 2 * len(found[0])
+            if self.run_bytes > REMEMBERED:
+                self.clear()
+                self.run_bytes = 0
+            self[run] = found
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -231,9 +247,10 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFram
             start, kept, held = 0, [], 0
             texts = batch.column(at)
             for i in range(batch.num_rows):
-                found = table.encode(texts[i].as_py() or "")
+                text = texts[i].as_py() or ""
+                found = table.encode(text)
                 kept.append(found)
-                held += len(found[0]) + len(found[1])
+                held += len(text) + len(found[0]) + len(found[1])
                 if held >= BATCH_BYTES or i == batch.num_rows - 1:
                     rows = batch.slice(start, len(kept))
                     columns = [pa.array([x for x, _ in kept], pa.binary()), pa.array([len(x) // 4 for x, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.string())]
