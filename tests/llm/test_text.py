@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -133,9 +134,81 @@ def test_languages(spark):
     assert langid.identify(hard(spark), model)[0].count() == 24
 
 
-def test_held_out(spark):
-    import zlib
+def held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def grams(text, bits):
+    """Hashed n-grams of a text, one after the other."""
+    import unicodedata
+
+    folded = "".join(c.lower() if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 else c if unicodedata.category(c)[0] == "L" else " " for c in text or "")
+    x = " " + " ".join(folded.split(" ")) + " "
+    while "  " in x:
+        x = x.replace("  ", " ")
+    wide, out = 1 << 32, []
+    a = [ord(c) * 2654435761 % wide for c in x]
+    b = [((p ^ p >> 15) * 2246822519 + q) % wide for p, q in zip(a, a[1:], strict=False)]
+    c = [((p ^ p >> 13) * 3266489917 + q) % wide for p, q in zip(b, a[2:], strict=False)]
+    out = [p for p, q in zip(a, x, strict=True) if q != " "] + b + c
+    return [(p ^ p >> 16) * 2654435761 % wide >> 32 - bits for p in out] if x.strip() else []
+
+
+def naive_bayes(rows, bits=14, smoothing=0.5):
+    """(label, posterior) of each (text, label or None, learned from)."""
+    import math
+    from collections import Counter
+
+    counts, docs = {}, Counter()
+    for text, label, own in rows:
+        if own and label is not None and grams(text, bits):
+            counts.setdefault(label, Counter()).update(grams(text, bits))
+            docs[label] += 1
+    out = []
+    for text, _, _ in rows:
+        if not grams(text, bits) or not docs:
+            out.append(("und", 0.0))
+            continue
+        joint = {}
+        for label in sorted(docs):
+            total = math.log(sum(counts[label].values()) + smoothing * (1 << bits))
+            joint[label] = math.log(docs[label] / sum(docs.values())) + sum(math.log(counts[label][g] + smoothing) - total for g in grams(text, bits))
+        best = max(joint, key=joint.get)
+        out.append((best, 1 / sum(math.exp(x - joint[best]) for x in joint.values())))
+    return out
+
+
+@pytest.mark.parametrize("labels", [256, 2])
+def test_naive_bayes_against_brute_force(spark, monkeypatch, labels):
+    """One block of labels, or several."""
+    monkeypatch.setattr(langid, "LABELS", labels)
+    rows = [(r[0], r[1], str(i % 5), None, None) for i, r in enumerate(corpus(21, 60))]
+    want = naive_bayes([(r[1], r[2], not held(r[0])) for r in rows])
+    docs = frame(spark, rows)
+    found, label, score = langid.identify(docs, langid.learn_from(docs, held_out(F.col("doc_id"))))
+    got = {r.doc_id: (r[label], r[score]) for r in found.collect()}
+    for r, (name, p) in zip(rows, want, strict=True):
+        assert got[r[0]][1] == pytest.approx(p, abs=1e-9) and (got[r[0]][0] == name or p < 0.5 + 1e-9)
+
+
+def test_two_thousand_labels(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join([f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q"] * rng.randint(8, 12)), f"l{i:04}", None, None) for i in range(2000)]
+    docs = frame(spark, rows)
+    found, label, _ = langid.identify(docs.where("doc_id % 50 = 0"), langid.train(docs))
+    got = {r.doc_id: r[label] for r in found.collect()}
+    assert len(got) == 40 and got == {i: f"l{i:04}" for i in got}
 
+
+def test_equal_posteriors(spark):
+    """The label that sorts first, within a block and across blocks; a text of megabytes."""
+    rows = [(i, "same words here", x, None, None) for i, x in enumerate(["b", "a", "c"] * 4)] + [(100, "same words here " * 200_000, None, None, None)]
+    docs = frame(spark, rows)
+    found, label, score = langid.identify(docs, langid.train(docs))
+    assert {(r[label], round(r[score], 6)) for r in found.collect()} == {("a", round(1 / 3, 6))}
+
+
+def test_held_out(spark):
     ids = list(range(50)) + [None]
     got = spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", held_out(F.col("i")).alias("h")).collect()
     assert all(r.h == (r.i is not None and zlib.crc32(str(r.i).encode()) % 4 == 2) for r in got)
