@@ -2,15 +2,20 @@
 
 The lexicon has a fixed part and one learned from labelled training rows: words
 and word beginnings whose share of toxic rows is far above the base rate, by a
-likelihood-ratio test.  Every text becomes a few numbers: lexicon densities,
+likelihood-ratio test.  An entry needs EVIDENCE / log(1 / base rate) toxic rows
+at least, which alone bounds the lexicon.  Calibration sees margins of rows
+that neither the trees nor the lexicon have seen: both are learned anew
+without each of ``FOLDS`` folds.  Every text becomes a few numbers: lexicon densities,
 closeness of lexicon words to second-person words, capitals, punctuation,
 symbols and obfuscated spellings.  At most ``TRAIN_DOCS`` labelled rows, those
 with the smallest id hash, are learned from, so what the driver gathers is
 bounded; every document is scored whole, in one narrow pass.
 
 Defined cases: a null or empty text has all features 0 and is scored like any
-other; rows without a label or id are not learned from; without any labelled
-row every score is 0; other columns stay as they are.
+other; a very long text is read whole, in one task; rows without a label or id
+are not learned from; of several labels of an id the largest counts; repeated
+rows score alike; without any labelled row every score is 0; other columns stay
+as they are.
 """
 
 from __future__ import annotations
@@ -24,13 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.llm.common import fresh, quoted
+from arborlake.llm.common import cut, fresh, quoted, shuffle_partitions
 from arborlake.llm.trees import Boosted, Isotonic
 
 #: Bound of the sample of labelled rows.
 TRAIN_DOCS = 20_000
-#: Entries of the learned lexicon at most, best first.
-LEXICON = 5_000
+FOLDS = 4
 #: Least log-likelihood ratio of an entry.
 EVIDENCE = 12.0
 #: Keys that a task counts before it hands them on.
@@ -67,8 +71,8 @@ def keys_of(word: str) -> list[str]:
 class Lookup(dict):
     """word -> 0, or flags: 1 learned, 2 fixed, 4 second person, 8 shouted, 16 obfuscated, 32 hit only when uncovered; weight from bit 8 on."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[str, float], remembered: int = REMEMBERED):
+        self.lexicon, self.remembered = lexicon, remembered
 
     def __missing__(self, raw: str) -> int:
         word, flags = plain(raw), 0
@@ -81,7 +85,7 @@ class Lookup(dict):
             hidden = uncovered(raw.strip(EDGES))
             if not flags & 3 and (hidden in INSULTS or hidden in self.lexicon):
                 flags |= 32
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         self[raw] = found = int(flags) | int(min(weight, 60.0) * 16) << 8
         return found
@@ -119,51 +123,86 @@ def training_rows(labels: DataFrame, held: Column, doc_id: str = "doc_id", label
     return rows.orderBy(F.xxhash64("train_id"), "train_id").limit(TRAIN_DOCS)
 
 
+def lexicons(clean: np.ndarray, toxic: np.ndarray, all_clean: np.ndarray, all_toxic: np.ndarray) -> np.ndarray:
+    """Evidence (keys x (FOLDS + 1)) of keys from counts (keys x FOLDS): without each fold, then with all; 0 where it is no entry."""
+    out = np.zeros((len(clean), FOLDS + 1))
+    for k in range(FOLDS + 1):
+        own = [i for i in range(FOLDS) if i != k]
+        c, t = clean[:, own].sum(axis=1), toxic[:, own].sum(axis=1)
+        n, bad = all_clean[own].sum() + all_toxic[own].sum(), all_toxic[own].sum()
+        base = min(max(bad / max(n, 1), 1e-6), 1 - 1e-6)
+        share = t / np.maximum(t + c, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = t * np.log(share / base) + np.where(c > 0, c * np.log((1 - share) / (1 - base)), 0.0)
+        entry = (t > 0) & (evidence >= EVIDENCE) & (share >= min(0.5, 4 * base))
+        out[entry, k] = evidence[entry]
+    return out
+
+
 def learn(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], Boosted, Isotonic]:
     """Lexicon, trees and calibration.  ``rows`` (at most ``TRAIN_DOCS``) is broadcast."""
-    texts = docs.select(quoted(doc_id).alias("train_id"), quoted(text).alias("text")).join(F.broadcast(rows), "train_id").select("train_id", "text", "train_label")
+    fold = F.pmod(F.xxhash64("train_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    texts = docs.select(quoted(doc_id).alias("train_id"), quoted(text).alias("text")).join(F.broadcast(rows), "train_id")
+    # kept, so that all documents are read once for the training rows
+    texts = cut(texts.select("train_id", "text", "train_label", fold.alias("fold")).repartition(shuffle_partitions(docs.sparkSession), "train_id"))
+    counts = ["key", *(f"c{i}" for i in range(FOLDS)), *(f"t{i}" for i in range(FOLDS))]
 
     def count(batches):
         found: dict[str, list[int]] = {}
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["key", "clean", "toxic"])
+            columns = list(zip(*found.values(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(x, pa.int64()) for x in columns)], names=counts)
 
         for batch in batches:
-            for body, label in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for body, label, k in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 own = {k for w in {plain(w) for w in (body.as_py() or "").split()} if w for k in keys_of(w)}
                 own |= {""}  # counts the documents
-                for k in own:
-                    found.setdefault(k, [0, 0])[1 if label else 0] += 1
+                for key in own:
+                    found.setdefault(key, [0] * 2 * FOLDS)[k + FOLDS * (label > 0)] += 1
                 if len(found) > COUNTED:
                     yield out()
                     found.clear()
         if found:
             yield out()
 
-    sums = texts.mapInArrow(count, "key string, clean bigint, toxic bigint").groupBy("key").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    all_rows = sums.where("key = ''").first()
-    if all_rows is None:
+    def weigh(batches):
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy() for i in range(1, 2 * FOLDS + 1)], axis=1)
+            found = lexicons(x[:, :FOLDS], x[:, FOLDS:], every[:FOLDS], every[FOLDS:])
+            kept = np.flatnonzero(found.any(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(found[kept].tolist(), pa.list_(pa.float64()))], names=["key", "e"])
+
+    sums = cut(texts.mapInArrow(count, "key string, " + ", ".join(f"{c} bigint" for c in counts[1:])).groupBy("key").agg(*[F.sum(c).alias(c) for c in counts[1:]]))
+    first = sums.where("key = ''").first()
+    if first is None:
         return {}, Boosted().fit(np.zeros((0, len(NAMES))), np.zeros(0)), Isotonic().fit(np.zeros(0), np.zeros(0))
-    base = min(max(all_rows.t / (all_rows.t + all_rows.c), 1e-6), 1 - 1e-6)
-    share = F.col("t") / (F.col("t") + F.col("c"))
-    evidence = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    best = sums.where((F.col("key") != "") & (F.col("t") > 0)).withColumn("e", evidence).where((F.col("e") >= EVIDENCE) & (share >= min(0.5, 4 * base)))
-    lexicon = {r.key: float(r.e) for r in best.orderBy(F.col("e").desc(), "key").limit(LEXICON).collect()}
+    every = np.array(first[1:])
+    entries = sums.where("key <> ''").mapInArrow(weigh, "key string, e array<double>").collect()
+    words = [{r.key: r.e[k] for r in entries if r.e[k]} for k in range(FOLDS + 1)]
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def features(batches):
-        lookup = Lookup(lexicon)
+        lookups = [Lookup(x, REMEMBERED // (FOLDS + 1)) for x in shared.value]
         for batch in batches:
-            found = [describe(x.as_py(), lookup) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.float64()))], names=["id", "label", "x"])
+            found = [[v for x in lookups for v in describe(body.as_py(), x)] for body in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.float64()))], names=["id", "label", "fold", "x"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    table = texts.mapInArrow(features, f"id {id_type}, label int, x array<double>").withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4))).orderBy("id").toPandas()
-    x, y, fold = np.array(table["x"].tolist()).reshape(-1, len(NAMES)), table["label"].to_numpy(float), table["fold"].to_numpy()
-    unseen = np.zeros(len(x))  # margins by trees that have not seen the row
-    for k in range(4):
-        unseen[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return lexicon, Boosted().fit(x, y), Isotonic().fit(unseen, y)
+    table = texts.mapInArrow(features, f"id {id_type}, label int, fold int, x array<double>").toPandas()
+    x, y, of = np.array(table["x"].tolist()).reshape(len(table), -1), (table["label"].to_numpy() > 0).astype(float), table["fold"].to_numpy()
+    order = np.lexsort((*x.T, table["id"].to_numpy()))  # sums of the trees in one order at every run; ids are those of the sample, so none is null
+    x, y, of = x[order].reshape(len(table), FOLDS + 1, len(NAMES)), y[order], of[order]
+    return words[-1], *fitted(x, y, of)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Boosted, Isotonic]:
+    """Trees of all rows, and calibration by margins of rows unseen; x[:, k] are features by the lexicon without fold k, the last by the whole one."""
+    unseen = np.zeros(len(x))
+    for k in range(FOLDS):
+        own = fold == k
+        unseen[own] = Boosted().fit(x[~own, k], y[~own]).margin(x[own, k])
+    return Boosted().fit(x[:, -1], y), Isotonic().fit(unseen, y)
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], Boosted, Isotonic], text: str = "text") -> tuple[DataFrame, str]:

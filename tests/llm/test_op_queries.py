@@ -1,6 +1,7 @@
 """The thin queries on whole small tables against brute force."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -8,9 +9,9 @@ import pytest
 from helpers import corpus, frame
 from pyspark.sql import functions as F
 from test_dedup import components, fingerprint, removed
-from test_text import base_rules, tokenizer
+from test_text import base_rules, naive_bayes, tokenizer
 
-from arborlake.llm import catalog, idfilter
+from arborlake.llm import catalog, idfilter, toxicity
 
 ROWS = corpus(11, 90)
 TEXT = {r[0]: r[1] for r in ROWS}
@@ -56,6 +57,41 @@ def test_op5_and_op9(spark, tables):
             assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in TEXT[r.doc_id] or "")) for r in got)
 
 
+def test_op5_against_brute_force(spark, tables):
+    _, got = run(spark, tables, "op5_language_id")
+    want = dict(zip(TEXT, naive_bayes([(r[1], r[2], not held(r[0])) for r in ROWS]), strict=True))
+    for r in got:
+        name, p = want[r.doc_id]
+        assert r.score == pytest.approx(p, abs=1e-9) and (r.lang_pred == name or abs(p - 0.5) < 1e-9)
+
+
+def test_op9_against_brute_force(spark, tables):
+    """The same lexicons, folds and calibration, counted one text after the other on the driver."""
+    _, got = run(spark, tables, "op9_toxicity")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{tables}/labels.parquet").collect()}
+    rows = spark.createDataFrame([(i,) for i in sorted(labels) if not held(i)], "i bigint").selectExpr("i", "pmod(xxhash64(i, 'fold'), 4) AS fold").collect()
+
+    def lexicon(without):
+        own = [r.i for r in rows if r.fold != without]
+        keys = {i: {k for w in (TEXT[i] or "").split() if toxicity.plain(w) for k in toxicity.keys_of(toxicity.plain(w))} for i in own}
+        base, out = min(max(sum(labels[i] for i in own) / len(own), 1e-6), 1 - 1e-6), {}
+        for k in set().union(*keys.values()):
+            t, n = sum(labels[i] for i in own if k in keys[i]), sum(k in keys[i] for i in own)
+            if t:
+                e = t * math.log(t / n / base) + ((n - t) * math.log((1 - t / n) / (1 - base)) if n > t else 0.0)
+                if e >= toxicity.EVIDENCE and t / n >= min(0.5, 4 * base):
+                    out[k] = e
+        return out
+
+    words = [lexicon(k) for k in (0, 1, 2, 3, None)]
+    x = np.array([[toxicity.describe(TEXT[r.i], toxicity.Lookup(w)) for w in words] for r in rows])
+    trees, calibration = toxicity.fitted(x, np.array([labels[r.i] for r in rows], float), np.array([r.fold for r in rows]))
+    assert words[-1] and len(got) == len(ROWS)
+    for r in got:
+        want = calibration.predict(trees.margin(np.array([toxicity.describe(TEXT[r.doc_id], toxicity.Lookup(words[-1]))])))[0]
+        assert r.score == pytest.approx(want, abs=1e-9)
+
+
 def test_op6(spark, tables):
     from tokenizers import Tokenizer
 
