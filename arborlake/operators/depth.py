@@ -34,15 +34,20 @@ def labelled_pixels(frames: DataFrame) -> DataFrame:
 
 
 def cap_samples(pixels: DataFrame, most: int | None, seed: int = 0, multiple: int = 1) -> DataFrame:
-    """At most ``most`` pixels a frame, drawn by a seeded hash; the rest of a multiple is left out on request."""
-    order = Window.partitionBy("frame_id").orderBy(F.xxhash64(F.lit(seed), "frame_id", "row", "col"), "row", "col")
-    ranked = pixels.withColumn("rank", F.row_number().over(order)).withColumn("all", F.count("*").over(Window.partitionBy("frame_id")))
-    limit = F.col("all") if most is None else F.least(F.col("all"), F.lit(most))
-    return ranked.where(F.col("rank") <= limit - limit % multiple).drop("rank", "all")
+    """At most ``most`` pixels a frame, drawn by MD5 of seed, frame and place; the rest of a multiple is left out on request."""
+    rank, every = (next(n for n in (f"cap_{k}{'_' * i}" for i in range(len(pixels.columns) + 1)) if n not in pixels.columns) for k in ("rank", "every"))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "frame_id", "row", "col").cast("binary"))
+    order = Window.partitionBy("frame_id").orderBy(draw, "row", "col")
+    ranked = pixels.withColumn(rank, F.row_number().over(order)).withColumn(every, F.count("*").over(Window.partitionBy("frame_id")))
+    limit = F.col(every) if most is None else F.least(F.col(every), F.lit(most))
+    return ranked.where(F.col(rank) <= limit - limit % multiple).drop(rank, every)
 
 
 def probe_coords(num_features: int, probe_size: float, seed: int) -> list[tuple[int, float, float, float, float]]:
-    """(feature_id, dr1, dc1, dr2, dc2): first points on rotated rings of growing radius, second near the middle."""
+    """(feature_id, dr1, dc1, dr2, dc2): first points on rings of growing radius, second near the middle.
+
+    A ring's point is moved once at random along its ring; all turns rotate that point.
+    """
     rings, steepness = 20, 1.3
     if num_features % rings:
         raise ValueError(f"the number of features must be a multiple of {rings}")
@@ -50,10 +55,11 @@ def probe_coords(num_features: int, probe_size: float, seed: int) -> list[tuple[
     profile = np.exp(np.linspace(-steepness, 0.0, rings + 1))
     radii = rng.permutation(probe_size * (profile - profile[0])[1:] / (1 - profile[0]) / 2)
     step = 2 * math.pi / rotations
+    own = [step * (ring / rings + rng.random() / 2) for ring in range(rings)]
     out = []
     for turn in range(rotations):
         for ring in range(rings):
-            angle = step * (turn + 1) + step * ring / rings + (rng.random() * step / 2 if turn == 0 else 0.0)
+            angle = step * (turn + 1) + own[ring]
             near = (rng.random(2) - 0.5) * 0.1 * probe_size
             out.append((len(out), -math.sin(angle) * radii[ring], math.cos(angle) * radii[ring], float(near[0]), float(near[1])))
     return [tuple(float(np.float32(x)) if i else x for i, x in enumerate(row)) for row in out]

@@ -121,6 +121,7 @@ b AS (SELECT *, (16777216 + 33554432 + 2 * 7 * (1 << max_depth) * 4 + 2 * ((2 <<
 SELECT *, round(bytes / 1048576.0::DOUBLE, 6) AS mb, bytes / 1048576.0::DOUBLE <= 65 AS fits FROM b""",
     "parse_log": "SELECT 2.5::DOUBLE AS tree_time_sec, 1 AS final_depth, 87.5::DOUBLE AS final_success_pct",
     "frame_slice": "SELECT url AS path FROM pages ORDER BY url LIMIT 20 OFFSET 5",
+    "sample_cap": text(*PIXELS, then="SELECT frame_id, row, col, z, label FROM (SELECT frame_id, row, col, z, lbl - 1 AS label, row_number() OVER (PARTITION BY frame_id ORDER BY md5(concat_ws(':', '0', frame_id, row, col)), row, col) AS place FROM pixels WHERE lbl >= 1) WHERE place <= 256"),
     "depth_pixels": text(*PIXELS, then="SELECT frame_id, row, col, z, lbl - 1 AS label FROM pixels WHERE lbl >= 1"),
     "depth_features": text(*PIXELS, """probes AS (SELECT * FROM (VALUES (0, 512.0, -256.0, 0.0, 128.0), (1, -1024.0, 2048.0, 64.0, 64.0), (2, 4096.0, 0.0, -4096.0, 0.0), (3, 0.0, 0.0, 8192.0, 8192.0)) v(feature_id, dr1, dc1, dr2, dc2))""", """places AS (
   SELECT frame_id, row, col, feature_id, trunc(row + dr1::DOUBLE / z)::BIGINT AS r1, trunc(col + dc1::DOUBLE / z)::BIGINT AS c1, trunc(row + dr2::DOUBLE / z)::BIGINT AS r2, trunc(col + dc2::DOUBLE / z)::BIGINT AS c2

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.operators import evaluate, weights
-from arborlake.operators.histograms import child_histogram, left_histogram, parent_histogram
+from arborlake.operators.histograms import BROADCAST_ROWS, child_histogram, left_histogram, parent_histogram
 from arborlake.operators.routing import predict, route
 from arborlake.operators.split import best_split, score_splits
 from arborlake.operators.thresholds import candidates, threshold_metadata
@@ -38,10 +38,16 @@ class Tree:
 
 
 def fit_level(samples: DataFrame, cands: DataFrame, class_weights: DataFrame, parents: DataFrame | None = None, measure: str = "shannon", num_features: int | None = None) -> DataFrame:
-    """Best split of each node that has samples, with its threshold."""
+    """Best split of each node that has samples, with its threshold; the splits of a level are broadcast, not the candidates."""
     both = left_histogram(parent_histogram(samples), child_histogram(samples, cands, num_features))
     best = best_split(score_splits(both, class_weights, measure, parents))
-    return best.join(F.broadcast(cands), ["feature_id", "threshold_id"]).select("node_id", "feature_id", "threshold_id", "threshold", "gain", "left_entropy", "right_entropy", "n_left", "n_right")
+    return cands.join(F.broadcast(best), ["feature_id", "threshold_id"]).select("node_id", "feature_id", "threshold_id", "threshold", "gain", "left_entropy", "right_entropy", "n_left", "n_right")
+
+
+def local(rows: DataFrame) -> DataFrame:
+    """``rows`` held by the driver if there are at most ``BROADCAST_ROWS`` of them, else persisted."""
+    few = rows.limit(BROADCAST_ROWS + 1).collect()
+    return rows.sparkSession.createDataFrame(few, rows.schema) if len(few) <= BROADCAST_ROWS else rows.persist()
 
 
 def fit(samples: DataFrame, max_depth: int, num_thresholds: int, *, meta: DataFrame | None = None, weight_type: str = "ones", class_weights: DataFrame | None = None, measure: str = "shannon", max_proxy: float = 1024.0, num_features: int | None = None) -> Tree:
@@ -50,12 +56,13 @@ def fit(samples: DataFrame, max_depth: int, num_thresholds: int, *, meta: DataFr
     Per level one query returns at most ``2^depth`` rows to the driver; samples
     are never collected or rewritten, their node is an expression over the
     splits found so far.  An empty node gets feature 0 and threshold 0.
+    Candidates and the histograms of all nodes become local tables below
+    ``BROADCAST_ROWS`` rows and stay with the executors above.
     """
     spark = samples.sparkSession
     samples = validated(samples)
     meta = threshold_metadata(samples, max_proxy) if meta is None else meta
-    cands = candidates(meta, num_thresholds)
-    cands = spark.createDataFrame(cands.collect(), cands.schema)  # features x thresholds rows
+    cands = local(candidates(meta, num_thresholds))
     if class_weights is None:
         class_weights = {"ones": weights.ones, "apriori": weights.apriori}[weight_type](samples)
     class_weights = spark.createDataFrame(class_weights.collect(), class_weights.schema)  # a row a class
@@ -71,8 +78,7 @@ def fit(samples: DataFrame, max_depth: int, num_thresholds: int, *, meta: DataFr
             entropy[2 * n + 1], entropy[2 * n + 2] = splits[n][5], splits[n][6]
         current = route(current, spark.createDataFrame([splits[n] for n in level], SPLITS))
     nodes = spark.createDataFrame([splits[n] for n in sorted(splits)], SPLITS)
-    hists = evaluate.tree_histograms(current, max_depth + 1)
-    hists = spark.createDataFrame(hists.collect(), hists.schema)  # nodes x classes
+    hists = local(evaluate.tree_histograms(current, max_depth + 1))
     every = spark.range((4 << max_depth) - 1).select(F.col("id").alias("node_id"))
     leaves = every.where(F.col("node_id") >= (2 << max_depth) - 1).join(evaluate.majority(hists), "node_id", "left")
     leaves = leaves.select("node_id", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("max_val", F.lit(0)).alias("max_val"))

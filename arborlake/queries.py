@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,14 +51,9 @@ def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(threshold_metadata(samples(spark, sf_dir)), THRESHOLDS)
 
 
-@cache
-def _tree(spark: SparkSession, sf_dir: str, max_depth: int) -> Tree:
-    return fit(samples(spark, sf_dir), max_depth, THRESHOLDS)
-
-
 def tree(spark: SparkSession, sf_dir: str, max_depth: int = 1) -> Tree:
-    """The tree of a directory, trained once a session."""
-    return _tree(spark, sf_dir, max_depth)
+    """A tree of the embeddings, trained anew for each query."""
+    return fit(samples(spark, sf_dir), max_depth, THRESHOLDS)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +179,10 @@ def weights_apriori(spark, sf_dir):
 
 @query
 def weights_file(spark, sf_dir):
-    """Weights as a file lists them: some classes given, others 1."""
-    listed = spark.createDataFrame([(0, 3), (2, 5), (99, 7)], "label int, listed bigint")
-    classes = spark.range(10).select(F.col("id").cast("int").alias("label"))
-    return classes.join(F.broadcast(listed), "label", "left").select("label", F.coalesce("listed", F.lit(1)).cast("bigint").alias("w"))
+    """Weights from a file that lists some classes; others weigh 1."""
+    path = tables.shared_path(spark, "weights")
+    spark.createDataFrame([("0 3",), ("2 5",), ("99 7",)], "value string").coalesce(1).write.text(path)
+    return weights.from_file(spark, path, 10)
 
 
 @query
@@ -395,11 +389,7 @@ def sample_cap(spark, sf_dir):
 @query
 def tree_roundtrip(spark, sf_dir):
     """A tree written to the shared folder and read again."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trees-")
-    path = f"{folder.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    path = tables.shared_path(spark, "tree")
     tables.write_tree(tree(spark, sf_dir), path)
     return tables.read_tree(spark, path).nodes.select("node_id", "feature_id", "threshold_id", "threshold", compared(F.col("gain")).alias("gain"), "n_left", "n_right")
 

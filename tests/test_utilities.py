@@ -134,6 +134,37 @@ def test_sample_cap(spark):
     assert {r.label for r in capped.collect()} == set(range(7))
 
 
+def test_sample_cap_keeps_columns(spark):
+    pixels = depth.labelled_pixels(depth.synthetic_frames(spark, 1)).selectExpr("*", "'x' AS rank", "1 AS cap_rank", "2 AS cap_every")
+    capped = depth.cap_samples(pixels, 10)
+    assert capped.columns == pixels.columns and {(r["rank"], r.cap_rank, r.cap_every) for r in capped.collect()} == {("x", 1, 2)}
+
+
+def test_probe_coords_rotate():
+    """The first points of a turn are those of the turn before, rotated; radii grow to half the probe's size."""
+    coords = np.array(depth.probe_coords(60, 1000.0, 7))
+    first = coords[:, 1:3].reshape(3, 20, 2)
+    angle = 2 * np.pi / 3
+    turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+    for k in (1, 2):
+        assert np.allclose(first[k], first[k - 1] @ turn.T, atol=1e-2)
+    radii = np.sort(np.hypot(*first[0].T))
+    profile = (np.exp(np.linspace(-1.3, 0, 21)) - np.exp(-1.3)) / (1 - np.exp(-1.3))
+    assert np.allclose(radii, 500 * profile[1:], atol=1e-2)
+    jitter = (np.arctan2(-first[0][:, 0], first[0][:, 1]) - angle * (1 + np.arange(20) / 20)) % (2 * np.pi) % (2 * np.pi - 1e-6)
+    assert (jitter <= angle / 2 + 1e-6).all() and len(set(jitter.round(4))) > 10 and (abs(coords[:, 3:]) <= 50).all()
+
+
+def test_frames_are_appended(spark, tmp_path):
+    """Frames converted one after the other give the dataset of all of them."""
+    path, coords = str(tmp_path / "samples"), depth.probe_coords(20, 500.0, 1)
+    for k in range(2):
+        tables.append_frames(depth.depth_features(depth.synthetic_frames(spark, 2).where(F.col("frame_id") == k), coords, "F_CHAR", 256), path)
+    want = depth.depth_features(depth.synthetic_frames(spark, 2), coords, "F_CHAR", 256)
+    rows = lambda df: sorted(map(tuple, df.select("frame_id", "row", "col", "label", F.hash("features")).collect()))
+    assert rows(spark.read.parquet(path)) == rows(want) and want.count() == 512
+
+
 def test_sizes(spark):
     one = sizing.estimate_bytes(19_949_016, 8, 8, 7, "F_CHAR")
     assert one / 1048576 == pytest.approx(110.1, abs=0.1)
