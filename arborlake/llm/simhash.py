@@ -258,7 +258,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     found, name = fingerprints(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), "text", words)
     rows = cut(found.select("doc_id", F.col(name).alias("simhash")))
     of = rooted(rows, radius)
-    names = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    # cut, so that the join has a shuffle of its own on both sides and a giant component can be split
+    names = cut(of.groupBy("root").agg(F.min("least").alias("component_id")))
     of = of.join(names, "root").select("fp", "component_id")
     return rows.join(of, rows.simhash == of.fp).select("doc_id", "simhash", "component_id")
 
