@@ -29,10 +29,12 @@ def quoted(name: str) -> Column:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the session's folder, or a temporary one in tests."""
+    """Make ``checkpoint()`` usable: the session's folder, or a temporary one where the session is a single process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 

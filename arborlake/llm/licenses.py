@@ -12,7 +12,8 @@ licence of its own takes that of the nearest ancestor directory with a licence
 file: the distinct directories are joined with licensed ones through their
 ancestors, then files with directories.
 
-Defined cases: a null or empty text has no licence of its own; a null path has
+Defined cases: a null or empty text has no licence of its own; a very long text
+is scored whole, its windows ``BLOCK`` lines at a time; a null path has
 no directory and inherits nothing; a tag, and a licence text matched at
 ``WHOLE``, come before notices, then the best score, and equal scores go to the
 name that sorts first; in a directory with several licence files the best score

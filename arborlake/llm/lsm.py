@@ -14,10 +14,13 @@
    third of all rows share crosses the network once a memtable, and texts whose
    digests agree but whose bytes differ end in different groups.
 
-Defined cases: a null text counts as empty; rows with a null id count in a
+Defined cases: a null text counts as empty; a very long text is hashed and
+compared whole, and may make a memtable larger than its bound by its own size;
+rows with a null id count in a
 group but do not give its identifier, unless all are null; if several rows
 have the identifier that stays, exactly one of them is marked kept; an empty
-table gives an empty result; the input's other columns are not touched.
+table gives an empty result; the input's other columns, whatever their names,
+are not touched.
 """
 
 from __future__ import annotations

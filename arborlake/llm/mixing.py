@@ -4,7 +4,8 @@ Words are counted per source, each source gets a target by water-filling under
 a cap, and every document is emitted ``floor(rate)`` times plus one Bernoulli
 copy, seeded by a hash of its id, with the rate's fraction as probability.
 
-Defined cases: a null text has size 0; a null source is a source of its own,
+Defined cases: a null text has size 0; a very long text is one row like any
+other, counted in place; a null source is a source of its own,
 placed last; rows with equal ids draw alike; a null id draws as the text
 ``null``; an empty table gives an empty result; a source without words has
 target 0.  Columns of the input are kept, whatever their names.

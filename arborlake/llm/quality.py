@@ -14,7 +14,8 @@ bits are compared as text, and covered words are summed over the gaps between
 the windows found.  Nothing is shuffled but the bucket counts.
 
 Defined cases: a null or empty text has no words, all counts 0, score 0 and
-fails the base rules; without trusted rows all weights are 0; a null id is
+fails the base rules; a very long text is one row, whose words and windows are
+arrays of one task, so it takes some ten times its size there; without trusted rows all weights are 0; a null id is
 never trusted; repeated rows agree; other columns stay as they are.
 """
 

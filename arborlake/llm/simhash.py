@@ -14,7 +14,8 @@ member, never its pairs.  Long buckets are cut into chunks and each pair of
 chunks is a task of its own.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any
-other; a text of fewer words than a shingle is one shingle; rows with a null id
+other; a very long text is hashed whole, its bits counted ``COUNTED`` shingles at
+a time; extra columns keep their values, whatever their names; a text of fewer words than a shingle is one shingle; rows with a null id
 take part in links but cannot name a component, unless no row of it has an id
 (then null); repeated rows agree; an empty table gives an empty result.
 """

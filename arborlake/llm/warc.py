@@ -6,7 +6,8 @@ of offsets, inner nodes hash ``FANOUT`` children, and a file's root is the node
 above all of its ranges.  An audit compares roots, then only children of nodes
 that differ, down to ranges and the records in them.
 
-Defined cases: null url or html count as empty; a null key sorts first, in file
+Defined cases: null url or html count as empty; a very long page is one record,
+of which only length and hash leave the task that reads it; a null key sorts first, in file
 -1; records that repeat a key are ordered by hash, so equal ones are
 interchangeable; records only one side has are ``missing`` or ``extra``; an
 empty table has no files; other columns are not used.
