@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  The stages' results are meant to be
 written and read again between them; ``run`` cuts the lineage at files in the
 shared checkpoint folder instead.
+
+Defined cases, beside those of the operators: an empty table stays empty; texts
+that are null or have no letter go in the first stage; rows with a null id are
+kept like any other, one of each group of copies; repeated rows are copies of
+each other, so one stays; extra columns pass all stages but the last, whatever
+their names; a very long text stays whole.
 """
 
 from __future__ import annotations
