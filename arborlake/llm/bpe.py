@@ -18,8 +18,10 @@ from the last one alone: a word's path is found by trying the arcs of its next
 characters, the longest first, and leaving positions from which no arc goes on.
 
 The tokenizer's own normalizer and pre-tokenizer split text into words; they
-act within runs of non-space characters, so each distinct run is encoded once
-and kept in a table bounded in bytes.
+act within runs of non-space characters, so the ids of runs and words are kept in
+a table of two generations, bounded in bytes: when the young one is full the old
+one goes, and what is still in use moves on.  Decoding emits the labels of the
+arcs taken.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and
 decodes to ""; a text longer than memory for one row is not supported by Spark
@@ -43,10 +45,10 @@ from pyspark.sql import types as T
 
 from arborlake.llm.common import fresh
 
-#: Bytes of runs of text, and of words, that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 40 << 20
+#: Bytes of runs of text and of words that a worker remembers, half of them in each generation.
+REMEMBERED = 80 << 20
 #: Bytes that a remembered entry takes besides its characters and ids; longer runs are not remembered.
-ENTRY, LONGEST = 300, 200
+ENTRY, LONGEST = 200, 200
 #: Arcs that a worker's table holds, 8 bytes each.
 ARCS = 1 << 20
 #: Bytes of texts and results in one Arrow batch.
@@ -56,7 +58,7 @@ SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 #: What str.split() also takes for spaces.
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 
-#: Lengths to try where no token begins with the next two characters.
+#: Lengths to try where no token of two characters or more begins with the next ones.
 ONE = (1,)
 #: Below it no character has a canonical composition with another one below it.
 FAR = "\u0300"
@@ -85,12 +87,16 @@ class MergeAutomaton:
                 continue
             self.merged[u, v] = time
             self.left[new], self.right[new], self.born[new] = u, v, time
-        #: Lengths of tokens inside a word, longest first, by their first two characters; the longest at its end.
-        inside: dict[str, set[int]] = defaultdict(set)
-        for t in self.vocab:
-            if not end or not t.endswith(end):
-                inside[t[:2]].add(len(t))
-        self.lengths = {k: tuple(sorted(x | {1}, reverse=True)) for k, x in inside.items()}
+        #: Lengths of tokens inside a word, longest first, by the next three characters, or the next two where no token begins with three.
+        inside: dict[str, set[int]] = defaultdict(lambda: {1})
+        tokens = {t for t in self.vocab if not end or not t.endswith(end)}
+        for t in tokens:
+            if len(t) > 1:
+                inside[t[:3]].add(len(t))
+        for begin, found in inside.items():
+            if len(begin) == 3 and begin[:2] in tokens:
+                found.add(2)
+        self.lengths = {k: tuple(sorted(x, reverse=True)) for k, x in inside.items()}
         self.longest_end = max((len(t) - len(end) for t in self.vocab if t.endswith(end)), default=0)
 
     def _arc(self, x: int, y: int, limit: int) -> bool:
@@ -119,39 +125,43 @@ class MergeAutomaton:
         Longer tokens are tried first.  A prefix has one path at most, so a
         position whose arcs lead nowhere never has to be entered again.
         """
-        n, spelled, get = len(word), word + self.end, self.vocab.get
+        n, spelled, get, arc = len(word), word + self.end, self.vocab.get, self.arc
+        lengths, longest_end = self.lengths, self.longest_end
         path, trail, dead = [], [], set()
-        at, tried, last = 0, 0, -1
-        lengths = self.lengths.get(word[:2], ONE)
+        at, last, choices = 0, -1, None
         while n:
-            if not tried and n - at <= self.longest_end:
-                token = get(spelled[at:])
-                if token is not None and (last < 0 or self.arc(last, token)):
-                    path.append(token)
-                    return path
-            for k in lengths[tried:]:
-                tried += 1
+            if choices is None:
+                if n - at <= longest_end:
+                    token = get(spelled[at:])
+                    if token is not None and (last < 0 or arc(last, token)):
+                        path.append(token)
+                        return path
+                choices = iter(lengths.get(word[at : at + 3]) or lengths.get(word[at : at + 2], ONE))
+            for k in choices:
                 end = at + k
                 if end < n and end not in dead:
                     token = get(word[at:end])
-                    if token is not None and (last < 0 or self.arc(last, token)):
-                        trail.append((at, tried, lengths))
+                    if token is not None and (last < 0 or arc(last, token)):
+                        trail.append((at, choices))
                         path.append(token)
-                        at, tried, last = end, 0, token
-                        lengths = self.lengths.get(word[at : at + 2], ONE)
+                        at, last, choices = end, token, None
                         break
             else:
                 if not path:
                     raise ValueError(f"no path spells {word!r}")
                 dead.add(at)
-                at, tried, lengths = trail.pop()
+                at, choices = trail.pop()
                 path.pop()
                 last = path[-1] if path else -1
         return path
 
 
 class Codec(dict):
-    """Maps a run of non-space characters to (ids, little-endian; arc labels joined by spaces)."""
+    """Maps a run of non-space characters to its ids, little-endian.
+
+    Words have entries too: under a key with a line feed, which no run has, but
+    for plain ASCII words, which are runs that are spelled alike.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -163,8 +173,8 @@ class Codec(dict):
         self.automaton = MergeAutomaton(model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]], model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.run_bytes = self.word_bytes = 0
+        self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
         #: The one kind of normalizer and pre-tokenizer that has a short way for runs of characters below FAR.
         steps = json.dumps(spec["normalizer"]), json.dumps(spec["pre_tokenizer"])
         self.plain = steps == (NORMALIZER, PRE_TOKENIZER)
@@ -178,51 +188,61 @@ class Codec(dict):
 
     def _words(self, run: str) -> list[str]:
         """Words of a run as the tokenizer's normalizer and pre-tokenizer give them, in its byte alphabet."""
-        if self.plain and max(run) < FAR:  # nothing to compose
-            return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet) for w in self.pattern.findall(run.lower())]
+        if self.plain and (run.isascii() or max(run) < FAR):  # nothing to compose
+            low = run.lower()
+            words = [low] if low.isalpha() else self.pattern.findall(low)
+            return words if low.isascii() and low.isprintable() else [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.alphabet) for w in words]
         return [w for w, _ in self.split_words(self.normal(run))]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        found = self.words.get(word)
+    def _remember(self, key: str, ids: bytes) -> None:
+        self.young_bytes += ENTRY + 4 * len(key) + len(ids)
+        if self.young_bytes > REMEMBERED // 2:
+            self.old = self.copy()
+            self.clear()
+            self.young_bytes = 0
+        self[key] = ids
+
+    def _word(self, word: str) -> bytes:
+        key = word if self.plain and word.isascii() else "\n" + word
+        found = self.get(key)
         if found is None:
-            ids = self.automaton.encode(word)
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.label[i] for i in ids])
+            found = self.old.get(key)
+            if found is None:
+                ids = self.automaton.encode(word)
+                found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= LONGEST:
-                self.word_bytes += ENTRY + 4 * len(word) + 8 * len(ids)
-                if self.word_bytes > REMEMBERED:
-                    self.words.clear()
-                    self.word_bytes = 0
-                self.words[word] = found
+                self._remember(key, found)
         return found
 
-    def __missing__(self, run: str) -> tuple[bytes, str]:
-        if self.specials and self.specials.search(run):
-            parts = []
-            for part in self.specials.split(run):
-                if part in self.special:
-                    parts.append((np.array([self.special[part]], "<u4").tobytes(), part))
-                elif part:
-                    parts += map(self._word, self._words(part))
-        else:
-            parts = [self._word(w) for w in self._words(run)]
-        found = parts[0] if len(parts) == 1 else (b"".join([x for x, _ in parts]), " ".join([x for _, x in parts]))
+    def __missing__(self, run: str) -> bytes:
+        found = self.old.get(run)
+        if found is None:
+            if self.specials and self.specials.search(run):
+                parts = []
+                for part in self.specials.split(run):
+                    if part in self.special:
+                        parts.append(struct.pack("<I", self.special[part]))
+                    elif part:
+                        parts += map(self._word, self._words(part))
+                found = b"".join(parts)
+            else:
+                words = self._words(run)
+                found = self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+                if words == [run] and self.plain:
+                    return found  # remembered as a word
         if len(run) <= LONGEST:
-            self.run_bytes += ENTRY + 4 * len(run) + 2 * len(found[0])
-            if self.run_bytes > REMEMBERED:
-                self.clear()
-                self.run_bytes = 0
-            self[run] = found
+            self._remember(run, found)
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids and the decoded text of a whole text."""
         runs = filter(None, SPACES.split(text)) if NOT_SPACES.search(text) else text.split()
-        found = list(map(self.__getitem__, runs))
-        return b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])
+        ids = b"".join(map(self.__getitem__, runs))
+        return ids, self.decode(np.frombuffer(ids, "<u4"))
 
     def decode(self, ids) -> str:
         """Labels of the arcs, joined as a tokenizer without a decoder joins them."""
-        return " ".join([self.label[int(i)] for i in ids])
+        return " ".join(map(self.label.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=4)
