@@ -271,6 +271,31 @@ def test_encoding_against_the_library(spark):
     assert bpe.bpe_encode(hard(spark), path)[0].count() == 24
 
 
+
+@pytest.mark.parametrize("remembered", [2_000, 60_000])
+def test_encoding_while_caches_turn_over(remembered, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer()
+    library = Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+    table, rng, turned = bpe.Codec(path), random.Random(7), 0
+    words = ["".join(rng.choice("aeinorstlé'ß1,") for _ in range(rng.randint(1, 14))) for _ in range(600)] + ["Don't", "x" * 500, "é" * 300, "<|endoftext|>a", "\x00"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(20))
+        before = table.old
+        ids, decoded = table.encode(text)
+        turned += table.old is not before
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
+        for generation in (table, table.old):
+            assert sum(bpe.ENTRY + 4 * len(k) + len(x) for k, x in generation.items()) <= remembered // 2 + bpe.ENTRY + 20 * bpe.LONGEST
+            assert all(len(k) <= bpe.LONGEST + 1 for k in generation)
+    assert turned > 3
+
+
 def test_licences(spark):
     mit = "Released under the MIT License."
     rows = [(1, f"some prose\n{mit}\nmore", "r/a/x.txt"), (2, "some prose", "r/a/b/c.txt"), (3, mit, "r/a/LICENSE"), (4, "Licensed under the Apache License, Version 2.0.", "r/a/b/NOTICE"), (5, "prose", "r/z/q.txt"), (6, None, None), (7, "the license of the work under the law", "r/a/y.txt"), (2, "some prose", "r/a/b/c.txt")]
