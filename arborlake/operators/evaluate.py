@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.functions.heap import ancestors
+from arborlake.functions.heap import depth as node_depth
 
 
 def tree_histograms(samples: DataFrame, levels: int) -> DataFrame:
@@ -30,6 +31,13 @@ def byte_histogram(hist: DataFrame) -> DataFrame:
     return hist.join(top, "node_id").select("node_id", "label", "n", scaled.cast("smallint").alias("n_byte"))
 
 
+def progress(hist: DataFrame) -> DataFrame:
+    """(depth, n, correct, success_pct): how many samples a tree cut off below each depth would get right, from its histograms alone."""
+    nodes = hist.where("node_id > 0").groupBy("node_id").agg(F.sum("n").alias("n"), F.max("n").alias("correct"))
+    levels = nodes.groupBy((node_depth(F.col("node_id")) - 1).alias("depth")).agg(F.sum("n").alias("n"), F.sum("correct").alias("correct"))
+    return levels.select("depth", "n", "correct", F.round(F.try_divide(F.col("correct") * F.lit(100.0), F.col("n")), 9).alias("success_pct"))
+
+
 def accuracy(predictions: DataFrame) -> DataFrame:
     """One row: n, correct, accuracy in percent (null without rows)."""
     right = F.sum((F.col("label") == F.col("prediction")).cast("bigint"))

@@ -31,6 +31,13 @@ def estimates(cases: DataFrame, type_name: str, cap_mb: float | None = None) ->
     return cases.withColumn("bytes", size.cast("bigint")).withColumn("mb", F.round(mb, 6)).withColumn("fits", fits)
 
 
+def require_fit(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``estimates``; ends the program with status 2 if one does not fit."""
+    if not rows.where(~F.col("fits")).isEmpty():
+        raise SystemExit(2)
+    return rows
+
+
 def sweep(samples: list[int], features: list[int], depths: list[int], num_thresholds: int) -> list[dict]:
     """Benchmark cases: each list varies while the others stay at their middle (depth: largest) value."""
     samples, features, depths = sorted(samples), sorted(features), sorted(depths)

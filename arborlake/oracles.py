@@ -83,6 +83,7 @@ SELECT feature_id, 6::FLOAT AS max_proxy, coalesce(min(x) FILTER (abs(x) <> 6),
     "split_predicate": "SELECT o_orderstatus, o_totalprice::FLOAT > 150000.5::FLOAT AS goes_right, count(*) AS n FROM orders GROUP BY ALL",
     "align_features": "SELECT vec_id AS sample_id, label, embedding[4]::FLOAT AS f3 FROM embeddings",
     "node_range_join": "SELECT o_orderkey // 1000 AS node_id, count(*) AS n, min(o_orderkey) AS first_pos, max(o_orderkey) AS last_pos FROM orders WHERE o_orderkey BETWEEN 0 AND 15999 GROUP BY 1",
+    "whole_blocks": "SELECT o_orderkey, ((o_orderkey + 6) // 7)::BIGINT AS blocks, o_orderkey // 7 * 7 AS snapped FROM orders",
     "tile_samples": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT i AS sample_id, label FROM n, range(1234) r(i) JOIN embeddings ON vec_id = i % (SELECT n FROM n)",
     "repeat_features": "SELECT vec_id AS sample_id, i::INT AS feature_id, embedding[i % 5 + 1]::FLOAT AS value FROM embeddings, range(12) r(i)",
     "repeat_meta": text(SAMPLES, LONG, META, then="SELECT i::INT AS feature_id, max_proxy, fmin, fmax FROM range(150) r(i) JOIN meta ON feature_id = i % (SELECT count(*) FROM meta)"),
@@ -95,6 +96,7 @@ SELECT feature_id, 6::FLOAT AS max_proxy, coalesce(min(x) FILTER (abs(x) <> 6),
     "weighted_entropy": """WITH h AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), p AS (SELECT n::DOUBLE / CASE WHEN label % 2 = 0 THEN n ELSE 2 END AS p FROM h)
 SELECT 0::BIGINT AS node_id, round(sum(p), 9) AS total, round(log2(sum(p)) - sum(p * log2(p + 1e-5::DOUBLE)) / sum(p), 9) AS entropy FROM p""",
     "gini_scores": text(*BASE, ROOT, *scores(0, "1::BIGINT", "gini"), then=f"SELECT {ROOT_SCORES} FROM score0"),
+    "weighted_gini": text(*BASE, ROOT, *scores(0, "(CASE WHEN label % 3 = 0 THEN 0 ELSE label + 1 END)::BIGINT", "gini"), then=f"SELECT {ROOT_SCORES} FROM score0"),
     "split_scores_d0": text(*BASE, ROOT, *scores(0, "1::BIGINT"), then=f"SELECT {ROOT_SCORES} FROM score0"),
     "best_split_d0": text(*BASE, ROOT, *scores(0, "1::BIGINT"), then=f"SELECT {ROOT_SCORES}{BEST}"),
     "best_split_apriori": text(*BASE, ROOT, *scores(0, "count(*)"), then=f"SELECT {ROOT_SCORES}{BEST}"),
@@ -111,6 +113,7 @@ SELECT 0::BIGINT AS node_id, round(sum(p), 9) AS total, round(log2(sum(p)) - sum
     "per_class_accuracy": text(*TREE, *PREDICTED, then="""SELECT i::INT AS label, count(label) AS n, round(100.0::DOUBLE * count(label) / (SELECT count(*) FROM pred), 9) AS share,
        CASE WHEN count(label) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (label = prediction) / count(label), 9) END AS accuracy
 FROM range(12) r(i) LEFT JOIN pred ON label = i GROUP BY i"""),
+    "tree_progress": text(*TREE, HISTS, "nodes AS (SELECT node_id, sum(n) AS n, max(n) AS top FROM hists WHERE node_id > 0 GROUP BY node_id)", then="SELECT CASE WHEN node_id < 3 THEN 0 ELSE 1 END AS depth, sum(n)::BIGINT AS n, sum(top)::BIGINT AS correct, round(100.0::DOUBLE * sum(top) / sum(n), 9) AS success_pct FROM nodes GROUP BY 1"),
     "confusion": text(*TREE, *PREDICTED, then="SELECT label, prediction, count(*) AS n FROM pred GROUP BY ALL"),
     "smoke_root": "SELECT i AS sample_id, (i // 8)::INT AS label, (i // 8)::INT AS prediction FROM range(16) r(i)",
     "smoke_depth1": "SELECT i AS sample_id, (i // 4)::INT AS label, (i // 4)::INT AS prediction FROM range(16) r(i)",

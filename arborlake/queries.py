@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.heap import depth as node_depth
 from arborlake.functions.impurity import compared
+from arborlake.functions.whole import ceil_div, snap_down
 from arborlake.operators import datasets, depth, evaluate, sizing, weights
 from arborlake.operators.histograms import child_histogram, left_histogram, node_of_position, parent_histogram
 from arborlake.operators.routing import goes_right, route
@@ -144,6 +145,13 @@ def node_range_join(spark, sf_dir):
     return node_of_position(positions, ranges).groupBy("node_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
+@query
+def whole_blocks(spark, sf_dir):
+    """How many blocks of seven hold an order's key, and the multiple below it."""
+    seven = F.lit(7)
+    return table(spark, sf_dir, "orders").select("o_orderkey", ceil_div(F.col("o_orderkey"), seven).alias("blocks"), snap_down(F.col("o_orderkey"), seven).alias("snapped"))
+
+
 @query
 def tile_samples(spark, sf_dir):
     """All samples twice and the first 234 once more."""
@@ -216,6 +224,15 @@ def gini_scores(spark, sf_dir):
     return _shown(score_splits(both, weights.ones(rows), "gini"))
 
 
+@query
+def weighted_gini(spark, sf_dir):
+    """Gini scores under unequal weights; every third class weighs 0 and does not count."""
+    rows = rooted(spark, sf_dir)
+    w = weights.ones(rows).select("label", F.when(F.col("label") % 3 == 0, 0).otherwise(F.col("label") + 1).cast("bigint").alias("w"))
+    both = left_histogram(parent_histogram(rows), child_histogram(rows, cands(spark, sf_dir)))
+    return _shown(score_splits(both, w, "gini"))
+
+
 def _shown(scores: DataFrame) -> DataFrame:
     return scores.select("node_id", "feature_id", "threshold_id", compared(F.col("gain")).alias("gain"), compared(F.col("left_entropy")).alias("left_entropy"), compared(F.col("right_entropy")).alias("right_entropy"), "n_left", "n_right")
 
@@ -306,6 +323,12 @@ def per_class_accuracy(spark, sf_dir):
     return evaluate.per_class_accuracy(predictions(spark, sf_dir), 12)
 
 
+@query
+def tree_progress(spark, sf_dir):
+    """Share of samples that are right below each depth, as the run log reports it."""
+    return evaluate.progress(tree(spark, sf_dir).hists)
+
+
 @query
 def confusion(spark, sf_dir):
     return evaluate.confusion(predictions(spark, sf_dir))

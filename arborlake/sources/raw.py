@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.plans.tree import Tree
-from arborlake.schema import feature_type
+from arborlake.schema import SPLITS, feature_type
 
 # File names and little-endian number formats of the dataset layout.
 LABELS, THRESHOLDS, WEIGHTS = "Labels.lbl", "Threshholds.thr", "Weights.txt"
@@ -23,24 +23,46 @@ FEATURE_FILE = r"F_(\d+)\.feat$"
 FORMATS = {"F_CHAR": "<i1", "F_SHORT": "<i2", "F_INT": "<i4", "F_FLOAT": "<f4"}
 
 
+#: Files up to this size are read whole by one task; larger ones in blocks of at most ``BLOCK`` values.
+WHOLE, BLOCK = 1 << 28, 1 << 16
+
+
+def _blocks(spark: SparkSession, path: str, length: int, form: str) -> DataFrame:
+    """(path, start, content) of one large file, split among tasks into records of equal size.
+
+    The input format takes no shorter last record, so a block holds the largest number of values
+    up to ``BLOCK`` that divides the file's; a prime number of values is read value by value.
+    """
+    width = np.dtype(form).itemsize
+    if length % width:
+        raise ValueError(f"{path}: {length} bytes are not a whole number of values")
+    size = width * next(d for d in range(BLOCK, 0, -1) if length // width % d == 0)
+    hadoop = "org.apache.hadoop."
+    rows = spark.sparkContext.newAPIHadoopFile(path, hadoop + "mapreduce.lib.input.FixedLengthInputFormat", hadoop + "io.LongWritable", hadoop + "io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(size)})
+    return spark.createDataFrame(rows, "start bigint, content binary").select(F.lit(path).alias("path"), "start", "content")
+
+
 def _values(spark: SparkSession, path: str, pattern: str, form: str, kind: str) -> DataFrame:
     """(path, pos, value) of all numbers in the files that match."""
 
     def run(batches):
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, start, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = body.as_py()
                 if len(data) % np.dtype(form).itemsize:
                     raise ValueError(f"{name}: {len(data)} bytes are not a whole number of values")
-                x = np.frombuffer(data, form)
+                x, first = np.frombuffer(data, form), start // np.dtype(form).itemsize
                 for i in range(0, len(x), 1 << 20):
                     part = x[i : i + (1 << 20)]
                     value = pa.array(part.astype(part.dtype.newbyteorder("=")))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(np.arange(i, i + len(part))), value.cast(target)], names=["path", "pos", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(np.arange(first + i, first + i + len(part))), value.cast(target)], names=["path", "pos", "value"])
 
     target = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "float": pa.float32()}[kind]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return files.mapInArrow(run, f"path string, pos bigint, value {kind}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    rows = files.where(F.col("length") <= WHOLE).select("path", F.lit(0).cast("bigint").alias("start"), "content")
+    for large in files.where(F.col("length") > WHOLE).select("path", "length").collect():  # one row a feature at most
+        rows = rows.unionByName(_blocks(spark, large.path, large.length, form))
+    return rows.mapInArrow(run, f"path string, pos bigint, value {kind}")
 
 
 def read_features(spark: SparkSession, path: str, type_name: str, num_features: int | None = None) -> DataFrame:
@@ -99,3 +121,22 @@ def tree_bytes(tree: Tree, num_classes: int) -> bytes:
     out += [struct.pack("<IHxx", *tops.get(n, (0, 0))) for n in range(records)]
     out.append(bytes(small.get((n, c), 0) for n in range(records) for c in range(num_classes)))
     return b"".join(out)
+
+
+def read_tree_bytes(spark: SparkSession, path: str) -> Tree:
+    """The tree of a snapshot file.
+
+    Gains, entropies and counts of splits are not in it and are null; its histograms hold bytes,
+    so ``hists`` has (node_id, label, n_byte) instead of counts.
+    """
+    body = bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+    total, records, classes, deep = struct.unpack_from("<4i", body)
+    at = 16 + 8 * total
+    if len(body) != at + records * (8 + classes):
+        raise ValueError(f"{path}: {len(body)} bytes do not fit the header")
+    splits = [(n, f, None, t, *[None] * 5) for n, (f, t) in enumerate(struct.iter_unpack("<if", body[16:at]))]
+    tops = list(struct.iter_unpack("<IHxx", body[at : at + 8 * records]))
+    small = np.frombuffer(body, "u1", offset=at + 8 * records).reshape(records, classes)
+    hists = [(int(n), int(c), int(small[n, c])) for n, c in zip(*small.nonzero(), strict=True)]
+    leaves = [(n, int(label), int(most)) for n, (most, label) in enumerate(tops) if n >= total]
+    return Tree(deep, spark.createDataFrame(splits, SPLITS), spark.createDataFrame(hists, "node_id bigint, label int, n_byte smallint"), spark.createDataFrame(leaves, "node_id bigint, label int, max_val bigint"))

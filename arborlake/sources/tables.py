@@ -73,10 +73,31 @@ def unzip(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     return files.mapInArrow(run, "archive string, name string, content binary")
 
 
+def untar(spark: SparkSession, path: str, pattern: str = "*.tar*") -> DataFrame:
+    """(archive, name, content) of the files in tar archives, compressed or not, one archive a task."""
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for archive, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(body.as_py())) as t:
+                    for member in t:
+                        if member.isfile():
+                            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([member.name]), pa.array([t.extractfile(member).read()], pa.binary())], names=["archive", "name", "content"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInArrow(run, "archive string, name string, content binary")
+
+
 def open_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) from a directory or zip archives, by the path."""
+    """(name, content) of frame files from a directory or from zip or tar archives, by the path."""
     if path.lower().endswith(".zip"):
         return unzip(spark, path).select("name", "content")
+    if path.lower().endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
+        return untar(spark, path, "*").where(F.col("name").endswith(".mat")).select("name", "content")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "Data_*.mat").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("name"), "content")
 
