@@ -1,7 +1,7 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-Records are laid into archive files in key order; a window over record lengths,
-never payloads, gives offsets.  Leaves hash the records that start in one range
+Records are laid into archive files in key order; sums over record lengths,
+never payloads, give offsets.  Leaves hash the records that start in one range
 of offsets, inner nodes hash ``FANOUT`` children, and a file's root is the node
 above all of its ranges.  An audit compares roots, then only children of nodes
 that differ, down to ranges and the records in them.
@@ -25,6 +25,8 @@ FILE_KEYS = 4096
 #: Bytes of offsets in one leaf.
 RANGE_BYTES = 32 << 10
 FANOUT = 16
+#: Hexadecimal digits of a record's hash that divide the records of one key into parts.
+PART_DIGITS = 3
 
 
 def warc_record(key: Column, url: Column, html: Column) -> Column:
@@ -36,12 +38,27 @@ def warc_record(key: Column, url: Column, html: Column) -> Column:
 
 
 def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(file, key, offset, length, sha256) of every record; payloads stay where they are read."""
+    """(file, key, offset, length, sha256) of every record; payloads stay where they are read.
+
+    Equal records of a key are counted before the shuffle and laid side by side at the end.  Offsets
+    add up in three steps, within a key's part of hashes, over a key's parts and over a file's keys, so
+    neither a null key nor one that repeats puts its records into one task.
+    """
     record = warc_record(quoted(key), quoted(url), quoted(html))
     rows = pages.select(quoted(key).alias("key"), record.alias("r")).select("key", F.octet_length("r").cast("bigint").alias("length"), F.sha2(F.col("r").cast("binary"), 256).alias("sha256"))
     file = F.coalesce(F.floor(F.col("key") / FILE_KEYS).cast("bigint"), F.lit(-1))
-    before = Window.partitionBy("file").orderBy("key", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("file", file).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).select("file", "key", "offset", "length", "sha256")
+    rows = rows.withColumn("file", file).withColumn("part", F.substring("sha256", 1, PART_DIGITS))
+    copies = rows.groupBy("file", "key", "part", "sha256", "length").agg(F.count("*").alias("copies"))
+    ahead = lambda size, by, at: F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    parts = copies.groupBy("file", "key", "part").agg(F.sum(F.col("length") * F.col("copies")).alias("bytes"))
+    keys = parts.groupBy("file", "key").agg(F.sum("bytes").alias("bytes")).select("file", "key", ahead("bytes", ["file"], "key").alias("key_start"))
+    same_key = lambda a, b: (F.col(f"{a}.file") == F.col(f"{b}.file")) & F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key"))
+    starts = parts.withColumn("part_start", ahead("bytes", ["file", "key"], "part")).alias("p").join(keys.alias("k"), same_key("p", "k"))
+    starts = starts.select("p.file", "p.key", "p.part", (F.col("part_start") + F.col("key_start")).alias("start"))
+    placed = copies.withColumn("own", ahead(F.col("length") * F.col("copies"), ["file", "key", "part"], "sha256")).alias("c")
+    placed = placed.join(starts.alias("s"), same_key("c", "s") & (F.col("c.part") == F.col("s.part")))
+    placed = placed.select("c.file", "c.key", (F.col("start") + F.col("own")).alias("first"), "length", "sha256", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("nth"))
+    return placed.select("file", "key", (F.col("first") + F.col("nth") * F.col("length")).alias("offset"), "length", "sha256")
 
 
 def hashed(groups: DataFrame, at: str, hash_of: Column) -> DataFrame:
